@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.pieces import piece_boundaries, split_oversized
 from quern.llm.sentences import sentences_of_records
+from quern.llm.variants import link_variants, variant_pairs
 from quern.runtime import read_table
 
 
@@ -21,8 +22,16 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read_table(spark, sf_dir, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(link_variants(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "aliases")))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_variants(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "aliases"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p6_found, p6_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
