@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.leakage import find_leaks
 from quern.llm.pieces import piece_boundaries, split_oversized
 from quern.llm.sentences import sentences_of_records
 from quern.llm.variants import link_variants, variant_pairs
@@ -30,8 +31,17 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_variants(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "aliases"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return leaks.filter("exact").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p6_found, p6_groups)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
