@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.defects import find_defects
 from quern.llm.leakage import find_leaks
 from quern.llm.pieces import piece_boundaries, split_oversized
 from quern.llm.sentences import sentences_of_records
@@ -15,6 +16,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences_of_records(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "facts"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_defects(read_table(spark, sf_dir, "question_results")).select("q_id", "run_index", "defect")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_boundaries(split_oversized(read_table(spark, sf_dir, "chunks")))
 
@@ -41,7 +46,7 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
