@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.defects import find_defects
 from quern.llm.leakage import find_leaks
+from quern.llm.personal import find_personal, span_rows
 from quern.llm.pieces import piece_boundaries, split_oversized
 from quern.llm.sentences import sentences_of_records
 from quern.llm.variants import link_variants, variant_pairs
@@ -45,8 +47,16 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_rows(find_personal(read_table(spark, sf_dir, "documents"), with_text=False))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(read_table(spark, sf_dir, "documents")).select("doc_id", F.size("spans").alias("n_spans"), "redacted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
