@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.defects import find_defects
 from quern.llm.leakage import find_leaks
+from quern.llm.mixture import count_tokens, draw_mixture, plan_shares, reached_shares
 from quern.llm.personal import find_personal, span_rows
 from quern.llm.pieces import piece_boundaries, split_oversized
 from quern.llm.sentences import sentences_of_records
 from quern.llm.variants import link_variants, variant_pairs
-from quern.runtime import read_table
+from quern.runtime import durable, read_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,27 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read_table(spark, sf_dir, "mix_targets")
+    sizes = durable(_sizes(spark, sf_dir))
+    shares = reached_shares(draw_mixture(sizes, targets), plan_shares(sizes, targets))
+    return shares.filter("not reachable").select("source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read_table(spark, sf_dir, "mix_targets")
+    sizes = durable(_sizes(spark, sf_dir))
+    return reached_shares(draw_mixture(sizes, targets), plan_shares(sizes, targets))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_mixture(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_rows(find_personal(read_table(spark, sf_dir, "documents"), with_text=False))
 
@@ -56,7 +78,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
