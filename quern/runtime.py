@@ -61,6 +61,15 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About `rows` rows chosen by the hash of their keys, never more than a quarter above that; all, where there are fewer."""
+    total = df.count()
+    if total <= rows:
+        return df
+    share = int(rows / total * (1 << 30))
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < share).limit(rows + rows // 4)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
