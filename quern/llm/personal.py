@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from quern.functions.arrow import map_batches
 from quern.llm.nameforms import _PET
+from quern.runtime import hash_sample
 
 KINDS = ("email", "address", "id_number", "phone", "name")
 BUCKETS = 1 << 20
@@ -32,10 +33,15 @@ _HASHED = 1 << 14
 LABELERS = 6
 
 _EMAIL = re.compile(
-    r"(?<![\w@.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?\s?(?:@|\[at\]|\(at\)|\{at\}|<at>)\s?[A-Za-z0-9-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[A-Za-z][A-Za-z0-9-]*)+"
-    r"|(?<![\w@.+-])[A-Za-z0-9][A-Za-z0-9+_-]*(?: (?:dot|punto|point|punkt) [A-Za-z0-9][A-Za-z0-9+_-]*)* (?:at|arroba|\[at\]|\(at\)) [A-Za-z0-9-]+(?: (?:dot|punto|point|punkt) [A-Za-z0-9-]+)+(?![\w-])(?! at )",
+    r"(?<![\w@.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?\s?(?:@|\[at\]|\(at\)|\{at\}|<at>)\s?[A-Za-z0-9-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[A-Za-z][A-Za-z0-9-]*)+",
     re.IGNORECASE,
 )
+_SPELLED = re.compile(
+    r"(?<![\w@.+-])[A-Za-z0-9][A-Za-z0-9+_-]*(?: (?:dot|punto|point|punkt) [A-Za-z0-9][A-Za-z0-9+_-]*)* (?:at|arroba|\[at\]|\(at\)) [A-Za-z0-9-]+(?: (?:dot|punto|point|punkt) [A-Za-z0-9-]+)+(?![\w-])(?! at )",
+    re.IGNORECASE,
+)
+_SPELLED_GATE = re.compile(r" (?:dot|punto|point|punkt) ", re.IGNORECASE)
+_AT_GATE = re.compile(r"@|[\[({<]at[\])}>]", re.IGNORECASE)
 _EXT = r"(?:,?\s?(?:ext\.?|extension|x|durchwahl|poste|int\.?)\s?\d{1,5})?"
 _PHONE = re.compile(
     r"(?<![\w@/+-])(?<!\d\.)(?:"
@@ -63,16 +69,16 @@ _ID = re.compile(
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
 _TOWN = rf"{_CAP}(?![.@+_]\w)"
 _STREET = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Quay|Close|Terrace|Gardens|Row|Way|Court|Place|Square|Crescent|Drive|Hill|Walk|Mews|Wharf|Parade)"
-_ADDRESS = re.compile(
-    rf"(?<![\w-])(?:"
-    rf"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room)\s\w{{1,4}},\s)?\d{{1,4}}[a-z]?\s{_CAP}(?:\s{_CAP})?\s{_STREET}(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?"
-    rf"|P\.?\s?O\.?\sBox\s\d+(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?"
-    rf"|\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée)\s(?:de\sla\s|de\s|du\s|des\s|d['’])?{_CAP}(?:,\s\d{{5}}\s{_TOWN})?"
-    rf"|[A-ZÀ-ÖØ-Þ]\w+(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|damm)\s\d{{1,4}}[a-z]?(?:,?\s(?:D-)?\d{{5}}\s{_TOWN})?"
-    rf"|(?:C/|Calle|Avda\.|Avenida|Plaza|Paseo)\s{_CAP},?\s(?:n\.º\s|núm\.\s)?\d{{1,4}}(?:,\s\d{{5}}\s{_TOWN})?"
-    rf")(?!\w)"
-    r"|(?:(?<![一-鿿])[一-鿿]{1,5}|[一-鿿]{1,3})(?:街|路|巷|大道|胡同)\d+号(?:\d+[栋幢座])?(?:\d+单元)?(?:\d+[室楼号])?"
-)
+_FLAT = r"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room)\s\w{1,4},\s)?"
+# each form of address with a cheap test of whether it can occur at all
+_ADDRESSES = [
+    (re.compile(r"\d[a-z]?\s[A-ZÀ-ÖØ-Þ]"), re.compile(rf"(?<![\w-]){_FLAT}\d{{1,4}}[a-z]?\s{_CAP}(?:\s{_CAP})?\s{_STREET}(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?(?!\w)")),
+    (re.compile(r"Box\s\d"), re.compile(rf"(?<![\w-])P\.?\s?O\.?\sBox\s\d+(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?(?!\w)")),
+    (re.compile(r"\s(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée)\s"), re.compile(rf"(?<![\w-])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée)\s(?:de\sla\s|de\s|du\s|des\s|d['’])?{_CAP}(?:,\s\d{{5}}\s{_TOWN})?(?!\w)")),
+    (re.compile(r"(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|damm)\s\d"), re.compile(rf"(?<![\w-])[A-ZÀ-ÖØ-Þ]\w+(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|damm)\s\d{{1,4}}[a-z]?(?:,?\s(?:D-)?\d{{5}}\s{_TOWN})?(?!\w)")),
+    (re.compile(r"C/|Calle|Avda|Avenida|Plaza|Paseo"), re.compile(rf"(?<![\w-])(?:C/|Calle|Avda\.|Avenida|Plaza|Paseo)\s{_CAP},?\s(?:n\.º\s|núm\.\s)?\d{{1,4}}(?:,\s\d{{5}}\s{_TOWN})?(?!\w)")),
+    (re.compile(r"号"), re.compile(r"(?:(?<![一-鿿])[一-鿿]{1,5}|[一-鿿]{1,3})(?:街|路|巷|大道|胡同)\d+号(?:\d+[栋幢座])?(?:\d+单元)?(?:\d+[室楼号])?")),
+]
 _LABELS = {
     "email": re.compile(r"(?<![A-Za-z])(?:e-?mail|mail|contact|reach me at|write to|replies go to|courriel|correo)\W*$", re.IGNORECASE),
     "phone": re.compile(r"(?<![A-Za-z])(?:tel|telephone|phone|fax|mobile|call|ring|cell|telefon|téléphone|teléfono|电话|手机|тел)\W*(?:fax)?\W*$", re.IGNORECASE),
@@ -85,6 +91,7 @@ _DECOY = re.compile(
     re.IGNORECASE,
 )
 _NEUTRAL = re.compile(r"(?:ask at|answers at|noted was|slip only said|find it under|back of the card|or|/|–|\||[:;,])\W*$", re.IGNORECASE)
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ž]+(?:['’-][A-Za-zÀ-ÖØ-öø-ž]+)*")
 TITLES = frozenset("mr mrs ms miss dr prof sir lady lord dame capt captain sgt sergeant rev col maj lt gen hon mme mlle hr fr herr frau sr sra srta dra don doña señor señora monsieur madame master".split())
 _ORG_NEXT = re.compile(
@@ -145,9 +152,26 @@ def _french(text: str, at: int) -> bool:
     return len(re.findall(r"\b(?:le|la|les|un|une|des|du|au|en|fût|et|paya|soit|sous|avant|était)\b|[àéèêçùô]", around)) >= 3
 
 
+_FACTS: dict[str, tuple] = {}
+
+
+def _facts(word: str, table: np.ndarray) -> tuple:
+    """(caseless form, may be a given name, surname evidence, may take part in a name)."""
+    got = _FACTS.get(word)
+    if got is None:
+        if len(_FACTS) > 300_000:
+            _FACTS.clear()
+        low = word.casefold()
+        n = int(table[zlib.crc32(low.encode()) & (BUCKETS - 1)])
+        given = low in _PET
+        got = _FACTS[word] = (low, given, n, given or n > 0 or word[0].isupper() and low not in _COMMON)
+    return got
+
+
 def name_candidates(text: str, table: np.ndarray):
     """(start, end, form, surname evidence) of possible names, left to right, without overlaps."""
     toks = name_tokens(text)
+    facts = [_facts(w, table) for w, _, _ in toks]
     out, i, n = [], 0, len(toks)
 
     def gap(a, b):
@@ -157,23 +181,25 @@ def name_candidates(text: str, table: np.ndarray):
         return g != "" and not g.strip() and g.count("\n") < 2
 
     def evidence(k):
-        return int(table[_bucket(toks[k][0])])
+        return facts[k][2]
 
     def surname_like(k, strict=False):
         w = toks[k][0]
-        if len(w) < 3 or w.casefold() in _COMMON or w.casefold() in GIVEN_FULL:
+        if len(w) < 3 or facts[k][0] in _COMMON or facts[k][0] in GIVEN_FULL:
             return False
         if w[0].isupper() and not strict:
             return evidence(k) > 0 or (len(w) >= 6 and w.casefold() not in TITLES)
         return evidence(k) > 0
 
     def is_given(k):
-        w = toks[k][0].casefold()
-        return w in _PET
+        return facts[k][1]
 
     while i < n:
+        if not facts[i][3]:
+            i += 1
+            continue
         word, s, e = toks[i]
-        low = word.casefold()
+        low = facts[i][0]
         # given name, initials, surname
         if is_given(i):
             j = i + 1
@@ -232,22 +258,24 @@ def name_candidates(text: str, table: np.ndarray):
 def candidates(text: str, table: np.ndarray):
     """(kind, start, end, votes, hashed context) of every candidate span."""
     found = []
-    has_digit = any(c.isdigit() for c in text)
-    low = text.lower()
-    if "@" in text or "at]" in low or "at)" in low or " at " in low or "arroba" in low:
+    if _AT_GATE.search(text):
         for m in _EMAIL.finditer(text):
-            spelled = " at " in m.group().lower() and "@" not in m.group()
-            strict = "@" in m.group() and "." in m.group() or " dot " in m.group().lower()
-            found.append(("email", m.start(), m.end(), 1 if strict or not spelled else 0, "spelled" if spelled else "plain"))
-    if has_digit:
-        for m in _ADDRESS.finditer(text):
-            s, e = m.start(), m.end()
-            town = m.group().rsplit(", ", 1)
-            if len(town) == 2 and town[1].casefold() in _PET and not text[e : e + 1].isdigit():
-                e = s + len(town[0])
-            while text[e - 1] in ",;:":
-                e -= 1
-            found.append(("address", s, e, 1 if re.search(r"\d{5}|,|号|Box", m.group()) else 0, "address"))
+            found.append(("email", m.start(), m.end(), 1 if "@" in m.group() else 0, "plain"))
+    if _SPELLED_GATE.search(text):
+        for m in _SPELLED.finditer(text):
+            found.append(("email", m.start(), m.end(), 1, "spelled"))
+    if _DIGIT.search(text):
+        for gate, pattern in _ADDRESSES:
+            if not gate.search(text):
+                continue
+            for m in pattern.finditer(text):
+                s, e = m.start(), m.end()
+                town = m.group().rsplit(", ", 1)
+                if len(town) == 2 and town[1].casefold() in _PET:
+                    e = s + len(town[0])
+                while text[e - 1] in ",;:":
+                    e -= 1
+                found.append(("address", s, e, 1 if re.search(r"\d{5}|,|号|Box", m.group()) else 0, "address"))
         for m in _ID.finditer(text):
             found.append(("id_number", m.start(), m.end(), 1 if re.search(r"[A-Z]", m.group()) or m.group().count(" ") > 4 else 0, "id"))
         for m in _PHONE.finditer(text):
@@ -373,7 +401,8 @@ def choose(text: str, table: np.ndarray, model: SpanClassifier) -> list[tuple[st
 
 def train(documents: DataFrame, sample_rows: int = 3000) -> tuple[np.ndarray, SpanClassifier]:
     table = surname_evidence(documents)
-    sample = documents.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text").collect()
+    sample = hash_sample(documents.filter("text is not null").select("doc_id", "text"), ["doc_id"], sample_rows).collect()
+    _FACTS.clear()
     rows = [(k, votes, feats) for r in sample for k, _, _, votes, feats in candidates(r["text"], table)]
     labelers = Labelers().fit([(k, v) for k, v, _ in rows])
     targets = [labelers.posterior(k, v) for k, v, _ in rows]
@@ -408,6 +437,7 @@ def find_personal(documents: DataFrame, sample_rows: int = 3000, with_text: bool
 
     def scan(batch):
         if not ready:
+            _FACTS.clear()
             full, m = np.zeros(BUCKETS, dtype=np.uint8), SpanClassifier()
             full[sent[0]], m.votes, m.hashed = sent[1], sent[2], sent[3]
             ready.extend((full, m))
