@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.defects import find_defects
 from quern.llm.leakage import find_leaks
 from quern.llm.mixture import count_tokens, draw_mixture, plan_shares, reached_shares
+from quern.llm.neighbours import nearest_neighbours, neighbour_pairs, usable_vectors
 from quern.llm.personal import find_personal, span_rows
 from quern.llm.pieces import piece_boundaries, split_oversized
 from quern.llm.sentences import sentences_of_records
@@ -31,6 +32,26 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read_table(spark, sf_dir, "chunks"))
 
 
+_VECTORS = (("chunk", "vec_chunks", "chunk_id"), ("entity", "vec_entities", "entity_id"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    return [(kind, nearest_neighbours(usable_vectors(read_table(spark, sf_dir, table), key))) for kind, table, key in _VECTORS]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [neighbour_pairs(found).select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, found in _neighbours(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        found.select(F.lit(kind).alias("kind"), "id", "rank", "neighbour", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+        for kind, found in _neighbours(spark, sf_dir)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(link_variants(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "aliases")))
 
@@ -78,7 +99,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
