@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.defects import find_defects
 from quern.llm.leakage import find_leaks
 from quern.llm.mixture import count_tokens, draw_mixture, plan_shares, reached_shares
+from quern.llm.nearduplicates import similar_groups, similar_pairs, similar_texts
 from quern.llm.neighbours import nearest_neighbours, neighbour_pairs, usable_vectors
 from quern.llm.personal import find_personal, span_rows
 from quern.llm.pieces import piece_boundaries, split_oversized
@@ -32,6 +33,15 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read_table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similar_pairs(*similar_texts(read_table(spark, sf_dir, "chunks")))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(*similar_texts(read_table(spark, sf_dir, "chunks")))
+
+
 _VECTORS = (("chunk", "vec_chunks", "chunk_id"), ("entity", "vec_entities", "entity_id"))
 
 
@@ -99,7 +109,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_neighbours, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
