@@ -85,15 +85,18 @@ def nearest_neighbours(
 ) -> DataFrame:
     """id, neighbour, similarity, rank: the k most similar of every vector (vectors: id, vec)."""
     spark = vectors.sparkSession
-    vectors = durable(vectors.dropDuplicates(["id"]))
     total = vectors.count()
     if total < 2:
         return spark.createDataFrame([], "id long, neighbour long, similarity float, rank int")
     # copies: groups larger than k are answered among themselves
-    keyed = vectors.select("id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
+    keyed = vectors.select("id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")).distinct()
     copies = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("keep")).filter(F.col("n") > k)
     many = durable(keyed.join(copies, ["h1", "h2"]).select("id", "keep", "n"))
-    indexed = vectors.join(many.filter("id <> keep").select("id"), "id", "left_anti")
+    n_many = many.count()
+    without = many.filter("id <> keep").select("id")
+    if n_many <= 1_000_000:  # at most 8 MB of ids; beyond that a shuffle join
+        without = F.broadcast(without)
+    indexed = vectors.join(without, "id", "left_anti") if n_many else vectors
     count = max(1, min(4096, round(total / shard_size)))
     sample = _matrix(pa.array([r["vec"] for r in hash_sample(vectors, ["id"], sample_rows).collect()], type=pa.list_(pa.float32())))
     centroids = fit_centroids(sample, min(count, len(sample)))
@@ -120,7 +123,8 @@ def nearest_neighbours(
             "shard": shards.astype(np.int32), "own": own,
         }
 
-    routed = durable(map_batches(indexed.select("id", "vec"), _ROUTED, route))
+    # the routing is a small matrix product, so it is done again rather than written
+    routed = map_batches(indexed.select("id", "vec"), _ROUTED, route)
     # one row per shard, at most 4096
     sizes = {r["shard"]: r["n"] for r in routed.filter("own").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     cuts = {s: -(-n // shard_cap) for s, n in sizes.items() if n > shard_cap}
@@ -141,6 +145,9 @@ def nearest_neighbours(
         member = np.array(table["member"].to_pylist(), dtype=bool)
         ids = table["id"].to_numpy()
         x = _matrix(table["vec"])
+        first = np.zeros(len(ids), dtype=bool)
+        first[np.unique(np.where(member, ids * 2, ids * 2 + 1), return_index=True)[1]] = True  # repeated rows count once
+        member, ids, x = member[first], ids[first], x[first]
         at = np.flatnonzero(member)
         if not len(at):
             return None
@@ -162,10 +169,11 @@ def nearest_neighbours(
         return {n: np.concatenate(v) for n, v in out.items()}
 
     found = apply_groups(members.unionByName(guests), ["shard", "graph"], _FOUND, search)
-    ring = _copies_among_themselves(many, k)
     ranked = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    answered = many.select("id")
-    merged = found.join(answered, "id", "left_anti").unionByName(ring).dropDuplicates(["id", "neighbour"])
+    merged = found
+    if n_many:
+        merged = found.join(many.select("id"), "id", "left_anti").unionByName(_copies_among_themselves(many, k))
+    merged = merged.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     return merged.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
