@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from quern.plans import answer_queries, base_queries
+from quern.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "hybrid_retrieve"
+_MODULES = (base_queries, answer_queries)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
