@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared checkpoint folder: compressed, and read by column."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def only_ids(df: DataFrame, ids: DataFrame, keep: bool, limit: int = 2_000_000, key: str = "id") -> DataFrame:
+    """Rows of df whose key is (keep) or is not among ids (one column, distinct); at most `limit` ids are broadcast, more are joined by shuffle."""
+    n = ids.count()
+    if n == 0:
+        return df.limit(0) if keep else df
+    return df.join(F.broadcast(ids) if n <= limit else ids, key, "left_semi" if keep else "left_anti")
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size; huge when it doesn't know."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
