@@ -23,15 +23,17 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.arrow import map_batches
 from quern.llm.leakage import gram_hashes
 from quern.operators.graph import connected_components
-from quern.runtime import durable
+from quern.runtime import durable, only_ids, stored
 
 SKETCH = 64
 
@@ -52,7 +54,7 @@ def bin_minima(hashes: np.ndarray, doc: np.ndarray, docs: int, bins: int) -> np.
     attempt = 0
     while len(rows):
         attempt += 1
-        probe = ((cols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(bins)
+        probe = ((cols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(33)) % np.uint64(bins)
         probe = probe.astype(np.int64)
         good = full[rows, probe]
         # the probe's number is mixed in, so that two borrowed bins don't agree by chance of the lender
@@ -64,6 +66,7 @@ def bin_minima(hashes: np.ndarray, doc: np.ndarray, docs: int, bins: int) -> np.
 _SIGNED = T.StructType(
     [
         T.StructField("id", T.LongType()),
+        T.StructField("digest", T.BinaryType()),
         T.StructField("n", T.IntegerType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
         T.StructField("sketch", T.BinaryType()),
@@ -72,8 +75,8 @@ _SIGNED = T.StructType(
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sign_texts(reps: DataFrame, q: int, templates: int, subset_size: int) -> DataFrame:
-    """id, n (runs of the text, repeats counted), keys (one per template), sketch; reps: id, body."""
+def sign_texts(bodies: DataFrame, q: int, templates: int, subset_size: int) -> DataFrame:
+    """id, digest of the text, n (its runs, repeats counted), keys (one per template), sketch; bodies: id, body."""
     bins = templates * subset_size
 
     def sign(batch):
@@ -96,14 +99,16 @@ def sign_texts(reps: DataFrame, q: int, templates: int, subset_size: int) -> Dat
             counts += sizes.tolist()
             keys += key.astype(np.int64).tolist()
             sketches += [row.tobytes() for row in sketch]
-        return {"id": ids, "n": counts, "keys": keys, "sketch": sketches}
+        digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in bodies]
+        return {"id": ids, "digest": digests, "n": counts, "keys": keys, "sketch": sketches}
 
-    return map_batches(reps.select("id", "body"), _SIGNED, sign)
+    return map_batches(bodies.select("id", "body"), _SIGNED, sign)
 
 
-def exact_similarity(pairs: DataFrame, reps: DataFrame, q: int) -> DataFrame:
-    """a, b, similarity of candidate pairs, from their whole texts."""
-    texts = reps.select("id", "body")
+def exact_similarity(pairs: DataFrame, bodies: DataFrame, q: int) -> DataFrame:
+    """a, b, similarity of candidate pairs, from their whole texts; only texts of candidates are moved."""
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = durable(only_ids(bodies.select("id", "body"), ids, keep=True).dropDuplicates(["id"]))
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b"
     )
@@ -146,32 +151,23 @@ def similar_texts(
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of texts (id, text): members has id and rep, the least id with the equal text; links has the pairs a < b of
     representatives with at least the least similarity."""
-    members = durable(
-        texts.filter("id is not null and text is not null")
-        .select(F.col("id").cast("long"), normal_text("text").alias("body"))
-        .dropDuplicates(["id"])
-        .withColumn("digest", F.sha2("body", 256))
-        .drop("body")
-    )
+    bodies = texts.filter("id is not null and text is not null").select(F.col("id").cast("long"), normal_text("text").alias("body"))
+    base = stored(sign_texts(bodies, q, templates, subset_size))
     # the least id of a text stands for it; the aggregate is partial before the shuffle, so copies don't gather
-    classes = members.join(members.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
-    classes = durable(classes)
-    reps = (
-        texts.select(F.col("id").cast("long"), F.col("text"))
-        .join(classes.filter("id = rep").select("id"), "id")
-        .dropDuplicates(["id"])
-        .select("id", normal_text("text").alias("body"))
-        .filter(F.length("body") >= q)
-    )
-    signed = durable(sign_texts(reps, q, templates, subset_size))
+    lead = base.groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = durable(base.select("id", "digest").join(lead, "digest").select("id", "rep").distinct())
+    copies = classes.filter("id <> rep").select("id").distinct()
+    signed = only_ids(base.filter("n > 0"), copies, keep=False)
+    reps = only_ids(bodies, copies, keep=False)
     # boundary: a prefix of 1 - least of a set, times the mean length of a list, against one key per template
-    upto = durable(_grams(reps.join(signed.filter(F.col("n") <= high).select("id"), "id"), q))
+    few = durable(signed.filter(F.col("n") <= high).select("id").distinct())
+    upto = durable(_grams(only_ids(reps, few, keep=True).dropDuplicates(["id"]), q))
     lists = upto.groupBy("gram").agg(F.count("*").alias("df")).agg((F.sum(F.col("df") * F.col("df")) / F.sum("df")).alias("mean")).first()
     boundary = int(min(high, max(low, templates / ((1 - least) * max(1.0, lists["mean"] or 1.0)))))
     keyed = signed.filter(F.col("n") > boundary * least).select("id", F.explode("keys").alias("key"))
     # keys that only one text has are dropped before the join
-    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    live = durable(keyed.join(shared, "key"))
+    shared = keyed.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter("k > 1").drop("k")
+    live = durable(shared)
     a, b = live.select("key", F.col("id").alias("a")), live.select("key", F.col("id").alias("b"))
     met = a.join(b, "key").filter("a < b").select("a", "b").distinct()
     sketches = signed.select("id", "sketch")
@@ -191,7 +187,7 @@ def similar_texts(
     large = map_batches(thin.select("a", "b", "sa", "sb"), schema, sift)
     small = _small_pairs(upto.join(signed.filter(F.col("n") <= boundary).select("id"), "id"), least)
     candidates = durable(large.unionByName(small).distinct())
-    links = durable(exact_similarity(candidates, reps, q).filter(F.col("similarity") >= least))
+    links = durable(exact_similarity(candidates, bodies, q).filter(F.col("similarity") >= least))
     return classes, links
 
 
