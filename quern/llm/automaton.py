@@ -161,7 +161,9 @@ def _dot_ends(text: str, i: int, end: int, start: int, size: int) -> bool:
             if lower or nxt.isdigit():
                 return False
             return not (token == "г") or _words_between(text, start, i, 4)
-        return False
+        if lower or nxt.isdigit() or text[k + 1 : k + 2] == ".":
+            return False
+        return not (_in_trie(_NEVER, text, i, start) or _in_trie(_NUMBER, text, i, start))
     if _in_trie(_NEVER, text, i, start):
         return False
     if _in_trie(_NUMBER, text, i, start):

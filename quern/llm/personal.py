@@ -370,6 +370,14 @@ class SpanClassifier:
         self.votes = np.zeros((len(KINDS), LABELERS * 3 + 1), dtype=np.float32)
         self.hashed = np.zeros(_HASHED, dtype=np.float32)
 
+    def start_from(self, labelers: Labelers) -> SpanClassifier:
+        """Begin at what the labelers' reliabilities alone would decide."""
+        for i, kind in enumerate(KINDS):
+            t, prior = labelers.table[kind], labelers.prior[kind]
+            self.votes[i, : LABELERS * 3] = np.log(t[:, :, 1] / t[:, :, 0]).ravel()
+            self.votes[i, -1] = np.log(prior / (1 - prior))
+        return self
+
     def _at(self, votes):
         return [j * 3 + votes[j] + 1 for j in range(LABELERS)] + [LABELERS * 3]
 
@@ -392,7 +400,8 @@ class SpanClassifier:
 def choose(text: str, table: np.ndarray, model: SpanClassifier) -> list[tuple[str, int, int]]:
     """The spans that the classifier accepts; earlier kinds and longer spans win where they overlap."""
     kept: list[tuple[str, int, int]] = []
-    rows = [(KINDS.index(k), -(e - s), s, e, k) for k, s, e, votes, feats in candidates(text, table) if model.score(k, votes, feats) > 0]
+    # a decoy's label (votes[0] is -1 only after one) settles the matter, whatever the classifier learned
+    rows = [(KINDS.index(k), -(e - s), s, e, k) for k, s, e, votes, feats in candidates(text, table) if votes[0] >= 0 and model.score(k, votes, feats) > 0]
     for _, _, s, e, k in sorted(rows):
         if all(e <= a or s >= b for _, a, b in kept):
             kept.append((k, s, e))
@@ -406,7 +415,7 @@ def train(documents: DataFrame, sample_rows: int = 3000) -> tuple[np.ndarray, Sp
     rows = [(k, votes, feats) for r in sample for k, _, _, votes, feats in candidates(r["text"], table)]
     labelers = Labelers().fit([(k, v) for k, v, _ in rows])
     targets = [labelers.posterior(k, v) for k, v, _ in rows]
-    return table, SpanClassifier().fit(rows, targets)
+    return table, SpanClassifier().start_from(labelers).fit(rows, targets)
 
 
 _SPANS = T.StructType(
