@@ -366,3 +366,98 @@ def stream_ingest_dedup(spark, d):
     from quern.streaming.ingest import ingest_available
 
     return ingest_available(spark, f"{d}/documents.parquet")
+
+
+@query(
+    f"""WITH {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)} SELECT q_id, string_agg(term, ' ' ORDER BY term) AS query FROM (SELECT q_id, term FROM qt UNION SELECT q_id, 'ledger' FROM questions) GROUP BY q_id"""
+)
+def expand_query(spark, d):
+    q = questions(spark, d)
+    both = question_terms(q).select("q_id", "term").union(q.select("q_id", F.lit("ledger"))).distinct()
+    return both.groupBy("q_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("term"))).alias("query"))
+
+
+@query(
+    f"WITH {HYBRID}, {PACK} SELECT q_id, string_agg('  [C' || rank || '] → ' || coalesce(nullif(title, ''), nullif(regexp_extract(path, '[^/]+$'), ''), 'unknown source'), chr(10) ORDER BY rank) AS footer FROM packed WHERE used <= 6000 GROUP BY q_id"
+)
+def sources_footer(spark, d):
+    tag = F.concat(F.lit("  [C"), F.col("rank").cast("string"), F.lit("] → "), F.coalesce(source_info(F.col("title"), F.col("path")), F.lit("unknown source")))
+    g = _packed(spark, d).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", tag.alias("line")))).alias("l"))
+    return g.select("q_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("footer"))
+
+
+@query(
+    "SELECT q_id, string_agg('[P' || n || '] ' || sentence, chr(10) ORDER BY n) AS block FROM (SELECT q_id, sentence, n, sum(length(sentence)) OVER (PARTITION BY q_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS used FROM "
+    f"(SELECT 'q' || (subject_id % 50) AS q_id, sentence, row_number() OVER (PARTITION BY subject_id % 50 ORDER BY id) AS n FROM facts WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) AND sentence IS NOT NULL)) WHERE used <= 800 GROUP BY q_id"
+)
+def prop_prompt(spark, d):
+    p = props.from_facts(read(spark, d, "facts")).filter("statement is not null").withColumn("m", F.col("agent") % 50)
+    n = F.row_number().over(Window.partitionBy("m").orderBy("prop_id"))
+    rows = p.select(F.concat(F.lit("q"), F.col("m").cast("string")).alias("q_id"), "statement", n.alias("n"), F.length("statement").alias("chars"))
+    line = F.concat(F.lit("[P"), F.col("n").cast("string"), F.lit("] "), F.col("statement"))
+    g = rt.pack(rows, "chars", 800, ["n"]).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
+    return g.select("q_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("block"))
+
+
+@query(
+    f"SELECT chunk_id, subject, lower(predicate) AS predicate, statement FROM (SELECT f.chunk_id, s.canonical_name AS subject, f.predicate, f.sentence AS statement FROM facts f JOIN entities s ON s.id = f.subject_id WHERE f.source = 'coref') WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) AND trim(subject) <> ''"
+)
+def parse_model_props(spark, d):
+    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).filter("source = 'coref'")
+    item = F.to_json(F.array(F.struct(F.col("subject_name").alias("subject"), "predicate", F.col("sentence").alias("object"))))
+    rows = named.select("chunk_id", item.alias("response"))
+    got = ev.parse_model_facts(rows, props.PROPOSITION_TAXONOMY)
+    return got.select("chunk_id", "subject", "predicate", F.col("object").alias("statement"))
+
+
+@query()
+def prop_mention_scan(spark, d):
+    q = questions(spark, d)
+    return rt.mention_scan(q, props.entity_aliases(read(spark, d, "entities")))
+
+
+@query()
+def extract_propositions(spark, d):
+    from quern.operators.extraction import extract_introductions
+
+    return extract_introductions(read(spark, d, "chunks"))
+
+
+@query()
+def entity_context(spark, d):
+    from quern.operators.extraction import entity_context as context
+
+    names = read(spark, d, "entities").select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name"))
+    return context(names, read(spark, d, "chunks"))
+
+
+@query(
+    "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0 AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < sqrt(2 * (1 - 0.2))"
+)
+def cosine_threshold_match(spark, d):
+    from quern.operators import vectors as vec
+
+    e = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    a = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label")
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label")
+    return a.join(b, "label").filter("a < b").filter(vec.l2(F.col("va"), F.col("vb")) < vec.cosine_threshold(0.2)).select("a", "b")
+
+
+@query(
+    "SELECT q_id, id, round(greatest(0, 0.6 - 0.05 * d), 6) AS score FROM (SELECT q.vec_id AS q_id, v.vec_id AS id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE r <= 10"
+)
+def vec_fact_surface(spark, d):
+    from quern.operators import vectors as vec
+
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = e.filter("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("qvec"))
+    return vec.knn(q, e, 10).select("q_id", "id", F.round(F.greatest(F.lit(0.0), 0.6 - 0.05 * F.col("distance")), 6).alias("score"))
+
+
+@query(
+    f"SELECT DISTINCT e.id AS prop_entity_id, lower(e.canonical_name) AS canonical FROM entities e WHERE e.id IN (SELECT subject_id FROM facts WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) UNION SELECT object_id FROM facts WHERE object_id IS NOT NULL AND lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}))"
+)
+def prop_entities(spark, d):
+    ids = props.roles(props.from_facts(read(spark, d, "facts"))).select(F.col("entity_id").alias("id")).distinct()
+    e = read(spark, d, "entities").join(ids, "id", "left_semi")
+    return e.select(F.col("id").alias("prop_entity_id"), F.lower("canonical_name").alias("canonical")).distinct()
