@@ -66,6 +66,8 @@ _ID = re.compile(
     r"|\d{17}[\dXx]"
     r")(?![\w]|-\d)"
 )
+# no phone or identity number is shorter than this
+_NUMBER_GATE = re.compile(r"\d[\d\s()./-]{5,}\d|[A-Z]{1,3}[\s-]?\d{2}")
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
 _TOWN = rf"{_CAP}(?![.@+_]\w)"
 _STREET = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Quay|Close|Terrace|Gardens|Row|Way|Court|Place|Square|Crescent|Drive|Hill|Walk|Mews|Wharf|Parade)"
@@ -93,6 +95,12 @@ _DECOY = re.compile(
 _NEUTRAL = re.compile(r"(?:ask at|answers at|noted was|slip only said|find it under|back of the card|or|/|–|\||[:;,])\W*$", re.IGNORECASE)
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ž]+(?:['’-][A-Za-zÀ-ÖØ-öø-ž]+)*")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ž"
+# a capitalised word and the capitalised word after it, initials between them left out
+_PAIR = re.compile(rf"(?<![{_LATIN}])([A-ZÀ-ÖØ-Þ][{_LATIN}]*)(?=\.?\s+(?:[A-Z]\.\s+)*([A-ZÀ-ÖØ-Þ][{_LATIN}]{{4,}}))")
+_CAPITAL = re.compile(rf"(?<![{_LATIN}])[A-ZÀ-ÖØ-Þ][{_LATIN}]*(?:['’-][{_LATIN}]+)*")
+_LOWER = re.compile(r"[a-z]{3,}")
+_LOWER_AFTER = re.compile(rf"\s+[a-zß-öø-ž][{_LATIN}]{{3,}}")
 TITLES = frozenset("mr mrs ms miss dr prof sir lady lord dame capt captain sgt sergeant rev col maj lt gen hon mme mlle hr fr herr frau sr sra srta dra don doña señor señora monsieur madame master".split())
 _ORG_NEXT = re.compile(
     r"(?:['’]s)?\s*(?:&|and\s+(?:Sons|Co)\b|(?:Brothers|Bros|Sons|Shipping|Railway|Printing|Assurance|Archive|Mills|Company|Limited|Ltd|Trust|Society|House|Works|Inc|Bank|GmbH)\b)"
@@ -104,6 +112,9 @@ GIVEN_FULL = frozenset(v for vs in _PET.values() for v in vs)
 _ORDINARY = frozenset("dot will bill rich rob nat kit sandy sue pat jack harry dan ray mark dick rick penny val nell daisy bob jo al ed lee hal greta rita stu hump yo kitty gail ben ten max len leo rica tom sam jem mina dora willa xena tory billie nace alec libby pip cindy jerry".split())
 
 
+_LOWER_GIVEN = frozenset(w for w in _PET if w not in _ORDINARY and len(w) > 2)
+
+
 def _bucket(word: str) -> int:
     return zlib.crc32(word.casefold().encode()) & (BUCKETS - 1)
 
@@ -112,6 +123,23 @@ def name_tokens(text: str):
     return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def possible_name_tokens(text: str):
+    """The tokens of which names can be made: all, where a given name stands in lower case; else the capitalised ones,
+    and a word in lower case straight after a given name."""
+    if not _LOWER_GIVEN.isdisjoint(_LOWER.findall(text)):
+        return name_tokens(text)
+    toks = []
+    for m in _CAPITAL.finditer(text):
+        word = m.group()
+        toks.append((word, m.start(), m.end()))
+        if word.casefold() in _PET:
+            after = _LOWER_AFTER.match(text, m.end())
+            if after:
+                w = after.group().lstrip()
+                toks.append((w, after.end() - len(w), after.end()))
+    return toks
+
+
 def surname_evidence(documents: DataFrame) -> np.ndarray:
     """How often the words of each bucket stood as a surname after a given name or a title, over all documents."""
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
@@ -121,21 +149,14 @@ def surname_evidence(documents: DataFrame) -> np.ndarray:
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            toks = name_tokens(text)
-            for i in range(len(toks) - 1):
-                word = toks[i][0]
-                low = word.casefold()
-                given = word[0].isupper() and low in GIVEN_FULL
-                if not given and not (low in TITLES and word[0].isupper()):
+            for m in _PAIR.finditer(text):
+                low, last = m.group(1).casefold(), m.group(2)
+                if low not in GIVEN_FULL and low not in TITLES or last.casefold() in GIVEN_FULL:
                     continue
-                j = i + 1
-                while given and j < len(toks) - 1 and len(toks[j][0]) == 1 and toks[j][0].isupper() and text[toks[j][2] : toks[j][2] + 1] == ".":
-                    j += 1
-                between = text[toks[j - 1][2] : toks[j][1]]
-                if between.strip(" .\n") or "\n\n" in between or (given and j == i + 1 and "." in between):
+                gap = text[m.end(1) : m.start(2)]
+                if "\n\n" in gap or low in GIVEN_FULL and gap[0] == ".":
                     continue
-                last = toks[j][0]
-                if len(last) >= 5 and last[0].isupper() and last.casefold() not in GIVEN_FULL and not _ORG_NEXT.match(text, toks[j][2]):
+                if not _ORG_NEXT.match(text, m.end(2)):
                     b = _bucket(last)
                     found[b] = found.get(b, 0) + 1
         return {"bucket": list(found), "n": list(found.values())}
@@ -170,7 +191,7 @@ def _facts(word: str, table: np.ndarray) -> tuple:
 
 def name_candidates(text: str, table: np.ndarray):
     """(start, end, form, surname evidence) of possible names, left to right, without overlaps."""
-    toks = name_tokens(text)
+    toks = possible_name_tokens(text)
     facts = [_facts(w, table) for w, _, _ in toks]
     out, i, n = [], 0, len(toks)
 
@@ -276,13 +297,14 @@ def candidates(text: str, table: np.ndarray):
                 while text[e - 1] in ",;:":
                     e -= 1
                 found.append(("address", s, e, 1 if re.search(r"\d{5}|,|号|Box", m.group()) else 0, "address"))
-        for m in _ID.finditer(text):
+        numbers = _NUMBER_GATE.search(text)
+        for m in _ID.finditer(text) if numbers else ():
             found.append(("id_number", m.start(), m.end(), 1 if re.search(r"[A-Z]", m.group()) or m.group().count(" ") > 4 else 0, "id"))
-        for m in _PHONE.finditer(text):
+        for m in _PHONE.finditer(text) if numbers else ():
             digits = sum(c.isdigit() for c in m.group())
             found.append(("phone", m.start(), m.end(), 1 if m.group()[0] in "+(0" and digits >= 9 else 0, "phone"))
     for s, e, form, ev in name_candidates(text, table):
-        found.append(("name", s, e, 1 if form in ("full", "reversed") and ev else 0, form + ("+" if ev > 1 else "")))
+        found.append(("name", s, e, 1 if form in ("full", "reversed") and ev else 0, form + ("+" if ev > 1 else "-" if ev else "")))
     out = []
     for kind, s, e, strict, form in found:
         left, right = text[max(0, s - 40) : s], text[e : e + 30]
@@ -290,20 +312,20 @@ def candidates(text: str, table: np.ndarray):
         label = 0
         if _LABELS[kind].search(left):
             label = 1
-        elif _DECOY.search(left) and kind in ("phone", "id_number", "email"):
+        elif kind in ("phone", "id_number", "email") and _DECOY.search(left):
             label = strict = -1
-        elif any(p.search(left) for k, p in _LABELS.items() if k != kind and k != "name") and kind in ("phone", "id_number"):
+        elif kind in ("phone", "id_number") and any(p.search(left) for k, p in _LABELS.items() if k != kind and k != "name"):
             label = -1
-        elif _NEUTRAL.search(left):
-            label = 1 if kind != "name" else 0
-        digits = sum(c.isdigit() for c in body)
+        elif kind != "name" and _NEUTRAL.search(left):
+            label = 1
+        digits = 0 if kind == "name" else sum(c.isdigit() for c in body)
         gaz = 0
         if kind == "name":
-            ev = max((int(table[_bucket(w)]) for w, _, _ in name_tokens(body)), default=0)
-            gaz = 1 if ev >= 2 else 0 if ev == 1 else -1
-            if form.startswith("alone") and ev >= 2 and not _ORG_NEXT.match(right):
-                strict = 1
-        after = -1 if _ORG_NEXT.match(right) and kind == "name" or re.match(r"\s*(?:is out of print|was missing|is not an|was tagged|N\b|kg|km)", right) else 0
+            gaz = 1 if form[-1] == "+" else 0 if form[-1] == "-" else -1
+        firm = kind == "name" and _ORG_NEXT.match(right) is not None
+        if kind == "name" and gaz == 1 and not firm and form.startswith("alone"):
+            strict = 1
+        after = -1 if firm or kind != "name" and re.match(r"\s*(?:is out of print|was missing|is not an|was tagged|N\b|kg|km)", right) else 0
         if kind == "name" and re.match(r"\s*,\s*\d", right) is None and after == 0 and form.startswith(("titled", "alone")):
             after = 1 if re.match(r"\s+(?:later|answered|wrote|said|paya|pagó|escribió|écrivit|schrieb)\b", right) else 0
         line_start = not left or left.endswith(("\n", "| ", ": ", "/ ", "– ", "; "))
@@ -321,9 +343,9 @@ def candidates(text: str, table: np.ndarray):
         elif kind == "name":
             shape = 1 if form.startswith(("full", "reversed", "initial", "titled")) or strict == 1 else 0
         votes = (strict, label, gaz, after, layout, shape)
-        words = re.findall(r"\w+|[^\w\s]", left)[-2:] + ["|"] + re.findall(r"\w+|[^\w\s]", right)[:2]
-        pattern = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d", "9", body)))[:24]
-        feats = [zlib.crc32(f"{kind}:{x}".encode()) % _HASHED for x in ("f" + form, "l" + " ".join(words[:2]).lower(), "r" + " ".join(words[-2:]).lower(), "p" + pattern)]
+        before, behind = " ".join(left.split()[-2:]).lower(), " ".join(right.split(None, 2)[:2]).lower()
+        pattern = form if kind == "name" else re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d", "9", body)))[:24]
+        feats = [zlib.crc32(f"{kind}:{x}".encode()) % _HASHED for x in ("f" + form, "l" + before, "r" + behind, "p" + pattern)]
         out.append((kind, s, e, votes, feats))
     return out
 
