@@ -6,7 +6,8 @@ vectors; each vector searches every graph of its own shard, and those of the sec
 shard if its centroid is nearly as close (margin).  Results are merged by similarity, so a hot
 shard costs more searches but no lost rows, and no task holds more than one graph and its visitors.
 Vectors that at least k others equal exactly leave the graphs but for one: their k nearest are
-their copies, taken within salted groups of copies.
+their copies, taken within salted groups of copies.  Where that one is found by another vector,
+the first k of its group are.
 
 Cases: null vectors, other lengths, null or non-finite elements and zero vectors take no part;
 ids that repeat with equal vectors count once; ties are broken by id; fewer than two usable
@@ -172,11 +173,21 @@ def nearest_neighbours(
     ranked = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     merged = found
     if n_many:
-        merged = found.join(many.select("id"), "id", "left_anti").unionByName(_copies_among_themselves(many, k))
+        merged = _with_copies(found.join(many.select("id"), "id", "left_anti"), many, k, n_many)
+        merged = merged.unionByName(_copies_among_themselves(many, k))
     merged = merged.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     return merged.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
+def _with_copies(found: DataFrame, many: DataFrame, k: int, n_many: int) -> DataFrame:
+    """A representative found as a neighbour stands for its copies: it becomes the first k ids of its group."""
+    first = many.withColumn("i", F.row_number().over(Window.partitionBy("keep").orderBy("id"))).filter(F.col("i") <= k)
+    first = first.select(F.col("keep").alias("neighbour"), F.col("id").alias("copy"))
+    if n_many <= 1_000_000:  # at most 16 MB of ids; beyond that a shuffle join
+        first = F.broadcast(first)
+    return found.join(first, "neighbour", "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "similarity")
+
+
 def _copies_among_themselves(many: DataFrame, k: int, group: int = 1000) -> DataFrame:
     """For every copy the k copies after it in its salted group, going round."""
     # groups of about `group` copies; the last part is never smaller than k + 1, as small groups aren't cut

@@ -106,6 +106,21 @@ def test_many_copies(spark):
     assert all(len(by[i]) == 5 and all(r.neighbour < 40 and r.neighbour != i for r in by[i]) for i in range(40))
 
 
+def test_copies_are_found_by_others(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 64)), 20, axis=0), rng.normal(size=(40, 64))]).astype(np.float32)
+    x[20:30] = x[0] + 0.3 * x[20:30]  # ten rows near the copies
+    got = nearest_neighbours(usable_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>"), "chunk_id"))
+    by = {}
+    for r in got.orderBy("rank").collect():
+        by.setdefault(r.id, []).append(r.neighbour)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round((u @ u.T).astype(np.float64), 5)
+    np.fill_diagonal(s, -2)
+    assert all(sorted(by[i]) == sorted(np.argsort(-s[i], kind="stable")[:5].tolist()) for i in range(20, 60))
+    assert all(by[i] == [0, 1, 2, 3, 4] for i in range(20, 30))
+
+
 def test_metric_join_is_exact(spark):
     rng = random.Random(3)
     base = ["".join(rng.choices("abcde", k=rng.randint(4, 9))) for _ in range(60)]
