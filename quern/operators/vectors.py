@@ -37,6 +37,15 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def within(queries: DataFrame, vectors: DataFrame, distance: float) -> DataFrame:
+    """q_id, id: all vectors nearer than distance to each of a stated query set, but for itself (queries: q_id, qvec; vectors: id, vec).
+
+    Every vector is a candidate of every query; as in knn the query set is the small side.
+    """
+    near = l2(F.col("vec"), F.col("qvec")) < distance
+    return vectors.join(queries, F.col("q_id") != F.col("id")).filter(near).select("q_id", "id")
+
+
 def blend(a: Column, b: Column) -> Column:
     """Mean of two vectors, renormalised unless it is zero."""
     mean = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x + y) / 2)

@@ -443,6 +443,16 @@ def cosine_threshold_match(spark, d):
     return a.join(b, "label").filter("a < b").filter(vec.l2(F.col("va"), F.col("vb")) < vec.cosine_threshold(0.2)).select("a", "b")
 
 
+@query()
+def cosine_threshold_all(spark, d):
+    """The matches of cosine_threshold_match, whose SQL keeps to one label and a < b, against all rows."""
+    from quern.operators import vectors as vec
+
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = e.filter("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("qvec"))
+    return vec.within(q, e, vec.cosine_threshold(0.2)).select(F.col("q_id").alias("a"), F.col("id").alias("b"))
+
+
 @query(
     "SELECT q_id, id, round(greatest(0, 0.6 - 0.05 * d), 6) AS score FROM (SELECT q.vec_id AS q_id, v.vec_id AS id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE r <= 10"
 )

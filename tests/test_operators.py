@@ -14,6 +14,7 @@ from quern.functions.text import normalize_mention
 from quern.operators import entities, evaluation, facts, ingest, retrieval, vectors
 from quern.operators.fulltext import bm25
 from quern.operators.graph import connected_components
+from quern.plans import catalog
 from quern.sources import packs
 
 
@@ -277,3 +278,13 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
 def test_tiles_do_not_change_distances():
     names = ["".join(p) for p in itertools.product("ab", repeat=3)]
     assert (levenshtein_table(names, names, tile=10) == levenshtein_table(names, names)).all()
+
+
+def test_threshold_search_takes_every_row_as_candidate(spark, folder):
+    e = spark.read.parquet(folder + "/embeddings.parquet").toPandas()
+    x, ids = np.stack(e.embedding.to_numpy()).astype(np.float64), e.vec_id.to_numpy()
+    near = np.sqrt(((x[ids % 50 == 0][:, None] - x[None]) ** 2).sum(axis=2)) < vectors.cosine_threshold(0.2)
+    want = {(a, b) for a, row in zip(ids[ids % 50 == 0], near) for b in ids[row] if a != b}
+    got = rows(catalog.queries()["cosine_threshold_all"](spark, folder).select("a", "b"))
+    assert set(got) == want and len(got) == len(want)
+    assert any(a > b for a, b in got) and set(got) > set(rows(catalog.queries()["cosine_threshold_match"](spark, folder).select("a", "b")))
