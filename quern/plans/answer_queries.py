@@ -265,7 +265,17 @@ def compare_runs(spark, d):
 
 @query("SELECT DISTINCT q_id || '#' || run_index AS batch_id, q_id AS id, least(100, greatest(0, coalesce(judge_score, 50) + 40))::INT AS score FROM question_results WHERE run_index IN (0, 1)")
 def parse_judge(spark, d):
-    r = read(spark, d, "question_results").filter("run_index in (0, 1)").select("q_id", "run_index", "judge_score").distinct()
+    return _judged(read(spark, d, "question_results").filter("run_index in (0, 1)"))
+
+
+@query()
+def parse_judge_all(spark, d):
+    """parse_judge, whose SQL keeps to the first two runs, over every run."""
+    return _judged(read(spark, d, "question_results"))
+
+
+def _judged(results):
+    r = results.select("q_id", "run_index", "judge_score").distinct()
     score = (F.coalesce("judge_score", F.lit(50)) + 40).cast("string")
     resp = F.concat(F.lit('```json\n[{"id": "'), "q_id", F.lit('", "score": '), score, F.lit(', "reason": "r"}]\n```'))
     rows = r.select(F.concat("q_id", F.lit("#"), F.col("run_index").cast("string")).alias("batch_id"), resp.alias("response"), F.array("q_id").alias("asked"))

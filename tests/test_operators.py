@@ -288,3 +288,10 @@ def test_threshold_search_takes_every_row_as_candidate(spark, folder):
     got = rows(catalog.queries()["cosine_threshold_all"](spark, folder).select("a", "b"))
     assert set(got) == want and len(got) == len(want)
     assert any(a > b for a, b in got) and set(got) > set(rows(catalog.queries()["cosine_threshold_match"](spark, folder).select("a", "b")))
+
+
+def test_judge_responses_of_every_run_are_parsed(spark, folder):
+    scores = spark.read.parquet(folder + "/question_results.parquet").select("q_id", "run_index", "judge_score").distinct().collect()
+    want = [(f"{r.q_id}#{r.run_index}", r.q_id, min(100, (50 if r.judge_score is None else r.judge_score) + 40)) for r in scores]
+    assert any(r.run_index > 1 for r in scores)
+    assert rows(catalog.queries()["parse_judge_all"](spark, folder).select("batch_id", "id", "score")) == sorted(want, key=repr)
