@@ -413,7 +413,17 @@ def prop_prompt(spark, d):
     f"SELECT chunk_id, subject, lower(predicate) AS predicate, statement FROM (SELECT f.chunk_id, s.canonical_name AS subject, f.predicate, f.sentence AS statement FROM facts f JOIN entities s ON s.id = f.subject_id WHERE f.source = 'coref') WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) AND trim(subject) <> ''"
 )
 def parse_model_props(spark, d):
-    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).filter("source = 'coref'")
+    return _parsed_props(spark, d, "source = 'coref'")
+
+
+@query()
+def parse_model_props_all(spark, d):
+    """parse_model_props, whose SQL keeps to source = 'coref', over the facts of every source."""
+    return _parsed_props(spark, d, "true")
+
+
+def _parsed_props(spark, d, which):
+    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).filter(which)
     item = F.to_json(F.array(F.struct(F.col("subject_name").alias("subject"), "predicate", F.col("sentence").alias("object"))))
     rows = named.select("chunk_id", item.alias("response"))
     got = ev.parse_model_facts(rows, props.PROPOSITION_TAXONOMY)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.edit import levenshtein_table
 from quern.functions.text import normalize_mention
-from quern.operators import entities, evaluation, facts, ingest, retrieval, vectors
+from quern.operators import entities, evaluation, facts, ingest, propositions, retrieval, vectors
 from quern.operators.fulltext import bm25
 from quern.operators.graph import connected_components
 from quern.plans import catalog
@@ -295,3 +295,11 @@ def test_judge_responses_of_every_run_are_parsed(spark, folder):
     want = [(f"{r.q_id}#{r.run_index}", r.q_id, min(100, (50 if r.judge_score is None else r.judge_score) + 40)) for r in scores]
     assert any(r.run_index > 1 for r in scores)
     assert rows(catalog.queries()["parse_judge_all"](spark, folder).select("batch_id", "id", "score")) == sorted(want, key=repr)
+
+
+def test_model_propositions_come_from_the_facts_of_every_source(spark, folder):
+    f = spark.read.parquet(folder + "/facts.parquet").filter(F.lower("predicate").isin(propositions.PROPOSITION_TAXONOMY))
+    names = spark.read.parquet(folder + "/entities.parquet").filter("trim(canonical_name) <> ''").select(F.col("id").alias("subject_id"), F.trim("canonical_name").alias("subject"))
+    want = f.join(names, "subject_id").select("chunk_id", "subject", F.lower("predicate").alias("predicate"), F.trim("sentence").alias("statement"))
+    assert f.select("source").distinct().count() > 1
+    assert rows(catalog.queries()["parse_model_props_all"](spark, folder)) == rows(want)
