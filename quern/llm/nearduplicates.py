@@ -76,7 +76,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sign_texts(bodies: DataFrame, q: int, templates: int, subset_size: int) -> DataFrame:
-    """id, digest of the text, n (its runs, repeats counted), keys (one per template), sketch; bodies: id, body."""
+    """id, digest of the text, n (its distinct runs), keys (one per template), sketch; bodies: id, body."""
     bins = templates * subset_size
 
     def sign(batch):
@@ -84,7 +84,7 @@ def sign_texts(bodies: DataFrame, q: int, templates: int, subset_size: int) -> D
         bodies = batch.column(1).to_pylist()
         counts, keys, sketches = [], [], []
         for s in range(0, len(bodies), 128):
-            part = [gram_hashes(t, q) for t in bodies[s : s + 128]]
+            part = [np.sort(gram_hashes(t, q)) for t in bodies[s : s + 128]]
             sizes = np.array([len(h) for h in part])
             hashes = np.concatenate(part) if part else np.zeros(0, np.uint64)
             table = bin_minima(hashes, np.repeat(np.arange(len(part)), sizes), len(part), bins)
@@ -96,7 +96,7 @@ def sign_texts(bodies: DataFrame, q: int, templates: int, subset_size: int) -> D
                     key ^= key >> np.uint64(31)
             step = bins // SKETCH
             sketch = (table[:, :: max(1, step)][:, :SKETCH] * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8)
-            counts += sizes.tolist()
+            counts += [int(len(h) > 0) + int(np.count_nonzero(h[1:] != h[:-1])) for h in part]
             keys += key.astype(np.int64).tolist()
             sketches += [row.tobytes() for row in sketch]
         digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in bodies]

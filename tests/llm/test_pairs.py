@@ -58,6 +58,13 @@ def test_near_duplicates_of_nothing(spark):
     assert classes.count() == 0 and links.count() == 0
 
 
+def test_short_and_repetitive_texts_with_the_same_runs_meet(spark):
+    body = "the harbour master wrote down every ship that came in before the ice, and none that left it again"
+    df = spark.createDataFrame([(1, body), (2, f"{body} {body} {body}"), (3, "quite another text of about the same length as the first one, with no run of it at all, nor two")], "id long, text string")
+    classes, links = similar_texts(df)
+    assert [(r.a, r.b) for r in similar_pairs(classes, links).collect()] == [(1, 2)]
+
+
 def test_minima_do_not_depend_on_repeats_or_order():
     h = gram_hashes("the quick brown fox jumps", 8)
     a = bin_minima(h, np.zeros(len(h), dtype=np.int64), 1, 70)
