@@ -1,8 +1,8 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries.
 
 The least number of pieces gives equal-length targets; each cut snaps to the strongest
-boundary (blank line, sentence end, white space) within reach of its target, and the
-number of pieces grows until every piece keeps the limit.  A piece begins with the last
+boundary (blank line, sentence end, white space) within reach of its target, or, where its reach
+holds none of a kind, of those since the last cut before a weaker kind is taken, and the number of pieces grows until every piece keeps the limit.  A piece begins with the last
 sentence of the piece before it, or its last 200 characters if that sentence is longer.
 
 Cases: null, empty and short texts yield no pieces; a text without any white space is cut
@@ -81,7 +81,12 @@ def _try_count(text, size, count, limit, overlap, starts, levels):
         low = min(done + max(1, (min(target, high) - done) // 3), high)
         cut, kind = min(target, high), _NONE
         for name, positions in levels:
+            # near the target, else anywhere after the last cut, before a weaker boundary is taken
             a, b = bisect_left(positions, low), bisect_right(positions, high)
+            if a == b:
+                a = bisect_right(positions, done)
+                while a < b and not text[done : positions[a]].strip():
+                    a += 1
             if a < b:
                 k = min(range(a, b), key=lambda j: abs(positions[j] - target))
                 cut, kind = positions[k], name

@@ -35,6 +35,14 @@ def test_overlap_is_the_last_sentence():
         assert text[c:b].strip() == text[a:b].strip()[-len(text[c:b].strip()):]
 
 
+def test_a_blank_line_far_before_the_target_is_taken():
+    text = "A short opening." + "\n\n" + "One more sentence of the long part. " * 65
+    _, pieces = cut_pieces(text)
+    assert pieces[0] == (0, 16, "paragraph") and all(b - a <= 2048 for a, b, _ in pieces) and pieces[-1][1] == len(text)
+    _, pieces = cut_pieces("  \n\n" + "One more sentence of the long part. " * 65)
+    assert all(k == "sentence" for _, _, k in pieces[:-1])
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, 9, 0, None, "x"), (2, 9, 1, "short", "x"), (3, 9, 2, "word " * 900, "x")], "id long, source_id long, ordinal int, text string, piece string")
     got = split_oversized(df).collect()
