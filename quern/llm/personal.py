@@ -97,7 +97,9 @@ _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ž]+(?:['’-][A-Za-zÀ-ÖØ-öø-ž]+)*")
 _LATIN = "A-Za-zÀ-ÖØ-öø-ž"
 # a capitalised word and the capitalised word after it, initials between them left out
-_PAIR = re.compile(rf"(?<![{_LATIN}])([A-ZÀ-ÖØ-Þ][{_LATIN}]*)(?=\.?\s+(?:[A-Z]\.\s+)*([A-ZÀ-ÖØ-Þ][{_LATIN}]{{4,}}))")
+_PAIR = re.compile(rf"(?<![{_LATIN}])([A-ZÀ-ÖØ-Þ][{_LATIN}]*)(?=\.?\s+(?:[A-Z]\.\s+)*([A-ZÀ-ÖØ-Þ](?=[{_LATIN}'’-]{{4}})[{_LATIN}]*(?:['’-][{_LATIN}]+)*))")
+_POSSESSIVE = re.compile(r"['’]s$")
+_INNER = re.compile(r"['’-]")
 _CAPITAL = re.compile(rf"(?<![{_LATIN}])[A-ZÀ-ÖØ-Þ][{_LATIN}]*(?:['’-][{_LATIN}]+)*")
 _LOWER = re.compile(r"[a-z]{3,}")
 _LOWER_AFTER = re.compile(rf"\s+[a-zß-öø-ž][{_LATIN}]{{3,}}")
@@ -113,6 +115,10 @@ _ORDINARY = frozenset("dot will bill rich rob nat kit sandy sue pat jack harry d
 
 
 _LOWER_GIVEN = frozenset(w for w in _PET if w not in _ORDINARY and len(w) > 2)
+# the other given names, which count in lower case only beside a word with surname evidence
+_LOWER_REST = re.compile(rf"(?<![{_LATIN}])(?:{'|'.join(sorted(map(re.escape, (w for w in _PET if w not in _LOWER_GIVEN)), key=len, reverse=True))})(?![{_LATIN}])")
+_AFTER = re.compile(rf"\.?\s+(?:[{_LATIN}]\.?\s+)*({_WORD.pattern})")
+_BEFORE = re.compile(rf"({_WORD.pattern})(?:,\s?|\s+)$")
 
 
 def _bucket(word: str) -> int:
@@ -123,10 +129,21 @@ def name_tokens(text: str):
     return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
-def possible_name_tokens(text: str):
-    """The tokens of which names can be made: all, where a given name stands in lower case; else the capitalised ones,
-    and a word in lower case straight after a given name."""
-    if not _LOWER_GIVEN.isdisjoint(_LOWER.findall(text)):
+def _lower_name(text: str, table: np.ndarray) -> bool:
+    """Whether an ordinary word that is a given name too stands in lower case beside a word with surname evidence."""
+    for m in _LOWER_REST.finditer(text):
+        for near in (_AFTER.match(text, m.end()), _BEFORE.search(text[max(0, m.start() - 60) : m.start()])):
+            if near and len(near.group(1)) >= 3:
+                low, _, n, _ = _facts(near.group(1), table)
+                if n > 0 and low not in _COMMON and low not in GIVEN_FULL:
+                    return True
+    return False
+
+
+def possible_name_tokens(text: str, table: np.ndarray):
+    """The tokens of which names can be made: all, where a given name stands in lower case (an ordinary word only beside
+    a surname); else the capitalised ones, and a word in lower case straight after a given name."""
+    if not _LOWER_GIVEN.isdisjoint(_LOWER.findall(text)) or _lower_name(text, table):
         return name_tokens(text)
     toks = []
     for m in _CAPITAL.finditer(text):
@@ -150,15 +167,17 @@ def surname_evidence(documents: DataFrame) -> np.ndarray:
             if not text:
                 continue
             for m in _PAIR.finditer(text):
-                low, last = m.group(1).casefold(), m.group(2)
-                if low not in GIVEN_FULL and low not in TITLES or last.casefold() in GIVEN_FULL:
+                low, token = m.group(1).casefold(), _POSSESSIVE.sub("", m.group(2))
+                if low not in GIVEN_FULL and low not in TITLES:
                     continue
                 gap = text[m.end(1) : m.start(2)]
                 if "\n\n" in gap or low in GIVEN_FULL and gap[0] == ".":
                     continue
-                if not _ORG_NEXT.match(text, m.end(2)):
-                    b = _bucket(last)
-                    found[b] = found.get(b, 0) + 1
+                # a surname with a hyphen or apostrophe counts whole and by its first part
+                for last in {token, _INNER.split(token, maxsplit=1)[0]}:
+                    if len(last) >= 5 and last.casefold() not in GIVEN_FULL and not _ORG_NEXT.match(text, m.start(2) + len(last)):
+                        b = _bucket(last)
+                        found[b] = found.get(b, 0) + 1
         return {"bucket": list(found), "n": list(found.values())}
 
     rows = map_batches(documents.select(F.col("text").cast("string")), schema, count).groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -191,7 +210,7 @@ def _facts(word: str, table: np.ndarray) -> tuple:
 
 def name_candidates(text: str, table: np.ndarray):
     """(start, end, form, surname evidence) of possible names, left to right, without overlaps."""
-    toks = possible_name_tokens(text)
+    toks = possible_name_tokens(text, table)
     facts = [_facts(w, table) for w, _, _ in toks]
     out, i, n = [], 0, len(toks)
 

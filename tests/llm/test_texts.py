@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import mixture
 from quern.llm.defects import asked_languages, find_defects, is_copy, is_empty, question_language
-from quern.llm.personal import BUCKETS, KINDS, Labelers, SpanClassifier, _bucket, choose, find_personal, redact, span_rows
+from quern.llm.personal import BUCKETS, KINDS, Labelers, SpanClassifier, _bucket, choose, find_personal, name_candidates, redact, span_rows, surname_evidence
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,25 @@ def test_name_orders():
     assert got[:4] == ["OCTAVIA WUNORODANE", "wunorodane octavia", "Wunorodane, Octavia", "O. Wunorodane"]
 
 
+def test_ordinary_given_names_in_lower_case():
+    table = np.zeros(BUCKETS, dtype=np.int32)
+    table[_bucket("lendogeston")] = 9
+
+    def of(text):
+        return [text[s:e] for s, e, _, _ in name_candidates(text, table)]
+
+    assert of("they met jack lendogeston there") == ["jack lendogeston"]
+    assert of("signed lendogeston, tom") == ["lendogeston, tom"]
+    assert of("they met jo lendogeston there") == ["jo lendogeston"]
+    assert of("they will sit and nod") == []
+
+
+def test_surnames_with_inner_marks_are_counted(spark):
+    df = spark.createDataFrame([("Thomas Smith-Jones met Margaret O'Brien's sister, Dr. Wunorodane's guest.",)], "text string")
+    table = surname_evidence(df)
+    assert all(table[_bucket(w)] == 1 for w in ("smith-jones", "smith", "o'brien", "wunorodane")) and not table[_bucket("wunorodane's")]
+
+
 def test_labelers_trust_agreement():
     rows = [("phone", (1, 1, 0, 0, 1, 1))] * 50 + [("phone", (-1, -1, 0, 0, 0, -1))] * 50 + [("phone", (0, 0, 0, 0, 1, 1))] * 5
     fit = Labelers().fit(rows)
