@@ -3,10 +3,15 @@
 Patterns propose candidate spans; six labelers (format, label before it, gazetteer, what follows,
 layout, shape) vote for, against, or not at all.  Expectation-maximisation estimates from the
 votes alone how far each labeler can be relied on, and its posteriors train a logistic span
-classifier over the votes and hashed context.  The surname gazetteer is counted over all
-documents, into a table of a fixed number of hash buckets, so what every task receives stays the
-same size however large the corpus is; only the labelers and the classifier are fitted on a
-bounded sample of documents (sample_rows).
+classifier over the votes and hashed context.  What is known of words (how often they stand in
+lower case, as a surname after a given name or title, after a word of place) is counted over all documents and kept as rates, one byte a word, in a table of hash
+slots that grows with the vocabulary up to 2^26 slots; with more than a million known words the
+share of strange words that fall on a known one rises above 1.6 percent.  Only the labelers and the
+classifier are fitted on a bounded sample of documents (sample_rows).
+
+A name is proposed wherever a given name, initials, a title, a
+surname with evidence, or two capitalised words that the corpus hardly ever shows in lower case
+stand; in Latin and Cyrillic script in any case, in Han script by surname, length and neighbours.
 
 Cases: null and empty texts have no spans; texts of any length are scanned whole; repeated
 texts are each reported under their own id; spans of one document never overlap; other columns are
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,10 +31,12 @@ from pyspark.sql import types as T
 
 from quern.functions.arrow import map_batches
 from quern.llm.nameforms import _PET
-from quern.runtime import hash_sample
+from quern.runtime import durable, hash_sample
 
 KINDS = ("email", "address", "id_number", "phone", "name")
-BUCKETS = 1 << 20
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
+# what a word's byte says
+COMMON, SURNAME, STRONG, LOWER_SURNAME, PLACE, INITIAL, FIRST, SECOND = 1, 2, 4, 8, 16, 32, 64, 128
 _HASHED = 1 << 14
 LABELERS = 6
 
@@ -88,25 +96,39 @@ _LABELS = {
     "address": re.compile(r"(?<![A-Za-z])(?:address|adresse|anschrift|dirección|lives at|deliver to|return to|moved to|地址|住址|адрес)\W*$", re.IGNORECASE),
     "name": re.compile(r"(?<![A-Za-z])(?:yours|saludos|mit gruß|bien à vous|name|dear|sincerely|said|asked|cried|with|by)\W*$", re.IGNORECASE),
 }
+# nouns whose numbers identify things, up to three words before the number
 _DECOY = re.compile(
-    r"(?<![A-Za-z])(?:parcel bore the\s+number|isbn|shelfmark(?: ms-?)?|version|grid reference is|reference|vol\.|p\.|item no\.|no\.|nr\.|núm\.|lot|invoice|order|page|chapter|the file \S*|handle)\W*$",
-    re.IGNORECASE,
+    r"(?<![A-Za-z])(?:(?i:parcel|isbn|shelfmark(?: ms-?)?|version|reference|item|lot|invoice|order|page|chapter|file|handle|tracking|serial|model|batch|ticket)(?:\s[a-z]{1,9}){0,3}\.?(?:\s\S*\.\w+)?|(?i:vol|p|no|nr|núm|ref)\.)\W*$"
 )
-_NEUTRAL = re.compile(r"(?:ask at|answers at|noted was|slip only said|find it under|back of the card|or|/|–|\||[:;,])\W*$", re.IGNORECASE)
+_NEUTRAL = re.compile(r"(?<![A-Za-z])(?:at|was|said|under|card|or|/|–|\||[:;,])\W*$|[:;,|/–]\W*$", re.IGNORECASE)
+_PLACE_BEFORE = re.compile(r"(?<!\w)(?:in|at|near|the|of|der|die|das|dem|den|ein|eine|einen|im|am|zum|zur|à|en|nach|aus|в|el|la|le|los|las|les|du|des|un|une|una)\s+$", re.IGNORECASE)
 _DIGIT = re.compile(r"\d")
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ž]+(?:['’-][A-Za-zÀ-ÖØ-öø-ž]+)*")
-_LATIN = "A-Za-zÀ-ÖØ-öø-ž"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-žА-Яа-яЁё"
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+_WORD = re.compile(rf"[{_LETTERS}]+(?:['’-][{_LETTERS}]+)*")
 # a capitalised word and the capitalised word after it, initials between them left out
-_PAIR = re.compile(rf"(?<![{_LATIN}])([A-ZÀ-ÖØ-Þ][{_LATIN}]*)(?=\.?\s+(?:[A-Z]\.\s+)*([A-ZÀ-ÖØ-Þ](?=[{_LATIN}'’-]{{4}})[{_LATIN}]*(?:['’-][{_LATIN}]+)*))")
+_PAIR = re.compile(rf"(?<![{_LETTERS}])([{_UPPER}][{_LETTERS}]*)(?=\.?\s+(?:[{_UPPER}]\.\s+)*([{_UPPER}][{_LETTERS}]*(?:['’-][{_LETTERS}]+)*)(?!\d))")
+_OPENS = re.compile(rf"(?:^|[.!?…:;|“„\"«—(]|\n\s*\n)\s*[“„\"«]?([{_UPPER}][{_LETTERS}]*)")
+_PLACED = re.compile(rf"(?<![{_LETTERS}])(?:in|at|near|à|en|nach|aus|в|из|bei)\s+([{_UPPER}][{_LETTERS}]+)")
 _POSSESSIVE = re.compile(r"['’]s$")
 _INNER = re.compile(r"['’-]")
-_CAPITAL = re.compile(rf"(?<![{_LATIN}])[A-ZÀ-ÖØ-Þ][{_LATIN}]*(?:['’-][{_LATIN}]+)*")
-_LOWER = re.compile(r"[a-z]{3,}")
-_LOWER_AFTER = re.compile(rf"\s+[a-zß-öø-ž][{_LATIN}]{{3,}}")
+_CAPITAL = re.compile(rf"(?<![{_LETTERS}])[{_UPPER}][{_LETTERS}]*(?:['’-][{_LETTERS}]+)*")
+_LOWER = re.compile(rf"(?<![{_LETTERS}])[a-zß-öø-žа-яё][{_LETTERS}]+(?:['’-][{_LETTERS}]+)*")
+_LOWER_AFTER = re.compile(rf"\s+[a-zß-öø-žа-яё][{_LETTERS}]+")
+# Frequent surnames in Han script, and characters that are words of their own rather than part of a given name.
+HAN_SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+_HAN_WORDS = "的了在是不有这那我你他她它们和与就都而及着或一个没上下大小为以可能会要到说问写答道走来去把给对被从向从前后里外中车站天年月日时分点号街路巷室楼"
+_HAN_GATE = re.compile(f"[{HAN_SURNAMES}]")
+_HAN_NAME = re.compile(
+    rf"(?:(?<![一-鿿])|(?<=[和与跟给对向被由叫见找请替到是了天年月日午晚后时候让]))([{HAN_SURNAMES}][^\W\d_A-Za-z{_HAN_WORDS}]{{0,1}}[^\W\d_A-Za-z{_HAN_WORDS}匠师员工人者家客医商民])"
+    rf"(?=说|问|写|答|喊|走|来|去|把|给|和|与|在|是|的|了|也|都|又|就|还|曾|正|将|会|已|先生|女士|小姐|太太|老师|医生|[，。！？；：、”」）\s]|$)"
+)
+_KANA = re.compile(r"[぀-ヿ]")
 TITLES = frozenset("mr mrs ms miss dr prof sir lady lord dame capt captain sgt sergeant rev col maj lt gen hon mme mlle hr fr herr frau sr sra srta dra don doña señor señora monsieur madame master".split())
 _ORG_NEXT = re.compile(
     r"(?:['’]s)?\s*(?:&|and\s+(?:Sons|Co)\b|(?:Brothers|Bros|Sons|Shipping|Railway|Printing|Assurance|Archive|Mills|Company|Limited|Ltd|Trust|Society|House|Works|Inc|Bank|GmbH)\b)"
 )
+_FIRM_WORDS = frozenset("brothers bros sons shipping railway printing assurance archive mills company limited ltd trust society house works inc bank gmbh haus box nr street road lane avenue station monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december".split())
 _COMMON = frozenset(
     "the a an and or but of in on at to by for with from as that this every one it he she they we i you is was were be been has had not no so until while because although which who what when where why how if then than into near under der die das und ein eine le la les et el los las un une de du des dann wo wer warum".split()
 )
@@ -115,41 +137,27 @@ _ORDINARY = frozenset("dot will bill rich rob nat kit sandy sue pat jack harry d
 
 
 _LOWER_GIVEN = frozenset(w for w in _PET if w not in _ORDINARY and len(w) > 2)
-# the other given names, which count in lower case only beside a word with surname evidence
-_LOWER_REST = re.compile(rf"(?<![{_LATIN}])(?:{'|'.join(sorted(map(re.escape, (w for w in _PET if w not in _LOWER_GIVEN)), key=len, reverse=True))})(?![{_LATIN}])")
-_AFTER = re.compile(rf"\.?\s+(?:[{_LATIN}]\.?\s+)*({_WORD.pattern})")
-_BEFORE = re.compile(rf"({_WORD.pattern})(?:,\s?|\s+)$")
 
 
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.casefold().encode()) & (BUCKETS - 1)
+def _slot(word: str, table: np.ndarray) -> int:
+    return zlib.crc32(word.encode()) & (len(table) - 1)
 
 
 def name_tokens(text: str):
     return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
-def _lower_name(text: str, table: np.ndarray) -> bool:
-    """Whether an ordinary word that is a given name too stands in lower case beside a word with surname evidence."""
-    for m in _LOWER_REST.finditer(text):
-        for near in (_AFTER.match(text, m.end()), _BEFORE.search(text[max(0, m.start() - 60) : m.start()])):
-            if near and len(near.group(1)) >= 3:
-                low, _, n, _ = _facts(near.group(1), table)
-                if n > 0 and low not in _COMMON and low not in GIVEN_FULL:
-                    return True
-    return False
-
-
 def possible_name_tokens(text: str, table: np.ndarray):
-    """The tokens of which names can be made: all, where a given name stands in lower case (an ordinary word only beside
-    a surname); else the capitalised ones, and a word in lower case straight after a given name."""
-    if not _LOWER_GIVEN.isdisjoint(_LOWER.findall(text)) or _lower_name(text, table):
-        return name_tokens(text)
+    """The tokens of which names can be made.  A word in lower case takes part only as a given name, as a word with surname
+    evidence, or straight after a given name: where no word of the text is one of the first two, the others needn't be read."""
+    for word in _LOWER.findall(text):
+        if word in _LOWER_GIVEN or _facts(word, table)[4]:
+            return name_tokens(text)
     toks = []
     for m in _CAPITAL.finditer(text):
         word = m.group()
         toks.append((word, m.start(), m.end()))
-        if word.casefold() in _PET:
+        if _facts(word, table)[1]:
             after = _LOWER_AFTER.match(text, m.end())
             if after:
                 w = after.group().lstrip()
@@ -157,33 +165,69 @@ def possible_name_tokens(text: str, table: np.ndarray):
     return toks
 
 
-def surname_evidence(documents: DataFrame) -> np.ndarray:
-    """How often the words of each bucket stood as a surname after a given name or a title, over all documents."""
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+_COUNTS = ("low", "cap", "evid", "placed", "opens", "first", "second")
+
+
+def word_knowledge(documents: DataFrame) -> np.ndarray:
+    """One byte of what all documents show of a word, at the slot of its caseless form."""
+    schema = T.StructType([T.StructField("h", T.LongType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
 
     def count(batch):
-        found: dict[int, int] = {}
+        words: Counter = Counter()
+        surname: Counter = Counter()
+        placed: Counter = Counter()
+        opens: Counter = Counter()
+        first: Counter = Counter()
+        second: Counter = Counter()
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
+            words.update(_WORD.findall(text))
+            placed.update(_PLACED.findall(text))
+            opens.update(_OPENS.findall(text))
             for m in _PAIR.finditer(text):
                 low, token = m.group(1).casefold(), _POSSESSIVE.sub("", m.group(2))
-                if low not in GIVEN_FULL and low not in TITLES:
-                    continue
                 gap = text[m.end(1) : m.start(2)]
-                if "\n\n" in gap or low in GIVEN_FULL and gap[0] == ".":
+                if gap.count("\n") > 1 or low not in TITLES and gap[0] == "." or token.isupper() and not m.group(1).isupper():
+                    continue
+                first[m.group(1)] += 1
+                second[token] += 1
+                if low not in TITLES and (low not in _PET or low in _ORDINARY):
                     continue
                 # a surname with a hyphen or apostrophe counts whole and by its first part
                 for last in {token, _INNER.split(token, maxsplit=1)[0]}:
-                    if len(last) >= 5 and last.casefold() not in GIVEN_FULL and not _ORG_NEXT.match(text, m.start(2) + len(last)):
-                        b = _bucket(last)
-                        found[b] = found.get(b, 0) + 1
-        return {"bucket": list(found), "n": list(found.values())}
+                    if len(last) >= 2 and last.casefold() not in _PET and not _ORG_NEXT.match(text, m.start(2) + len(last)):
+                        surname[last] += 1
+        found: dict[int, list[int]] = {}
+        for at, counter in ((None, words), (2, surname), (3, placed), (4, opens), (5, first), (6, second)):
+            for word, n in counter.items():
+                h = zlib.crc32(_POSSESSIVE.sub("", word).casefold().encode())
+                row = found.setdefault(h, [0] * len(_COUNTS))
+                row[at if at is not None else int(word[0].isupper())] += n
+        out = {"h": list(found)}
+        for i, c in enumerate(_COUNTS):
+            out[c] = [r[i] for r in found.values()]
+        return out
 
-    rows = map_batches(documents.select(F.col("text").cast("string")), schema, count).groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros(BUCKETS, dtype=np.int32)
+    counted = map_batches(documents.select(F.col("text").cast("string")), schema, count)
+    per = counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    low, cap, evid = F.col("low"), F.col("cap"), F.col("evid")
+    bit = lambda cond, value: F.when(cond, value).otherwise(0)
+    surname = (evid > 0) & (evid * 20 >= cap)
+    code = (
+        bit((low > 0) & (low * 10 >= cap), COMMON) + bit(surname, SURNAME) + bit(surname & (evid > 1), STRONG)
+        + bit(surname & (evid * 20 >= cap + low), LOWER_SURNAME)
+        + bit((F.col("placed") > 0) & (F.col("placed") * 4 >= cap), PLACE) + bit((cap > 2) & (F.col("opens") * 10 >= cap * 9), INITIAL)
+        + bit((F.col("first") > 2) & (F.col("first") * 2 >= cap), FIRST) + bit((F.col("second") > 2) & (F.col("second") * 3 >= cap), SECOND)
+    )
+    known = durable(per.select("h", code.cast("int").alias("code")).filter("code > 0"))
+    slots = LEAST_SLOTS
+    while slots < MOST_SLOTS and slots < 64 * known.count():
+        slots *= 2
+    rows = known.groupBy(F.pmod(F.col("h"), F.lit(slots)).cast("int").alias("slot")).agg(F.max("code").alias("code"))
+    table = np.zeros(slots, dtype=np.uint8)
     for r in rows.toLocalIterator():
-        table[r["bucket"]] = min(r["n"], 1 << 30)
+        table[r["slot"]] = r["code"]
     return table
 
 
@@ -196,15 +240,17 @@ _FACTS: dict[str, tuple] = {}
 
 
 def _facts(word: str, table: np.ndarray) -> tuple:
-    """(caseless form, may be a given name, surname evidence, may take part in a name)."""
+    """(caseless form, may be a given name, surname evidence, may take part in a name, counts in lower case, its byte)."""
     got = _FACTS.get(word)
     if got is None:
         if len(_FACTS) > 300_000:
             _FACTS.clear()
         low = word.casefold()
-        n = int(table[zlib.crc32(low.encode()) & (BUCKETS - 1)])
+        code = int(table[_slot(_POSSESSIVE.sub("", low), table)])
+        upper = word[0].isupper()
+        n = (1 + (code & STRONG > 0)) if code & (SURNAME if upper else LOWER_SURNAME) else 0
         given = low in _PET
-        got = _FACTS[word] = (low, given, n, given or n > 0 or word[0].isupper() and low not in _COMMON)
+        got = _FACTS[word] = (low, given, n, given or n > 0 or upper and low not in _COMMON, n > 0 and not upper and low not in _COMMON, code)
     return got
 
 
@@ -225,15 +271,19 @@ def name_candidates(text: str, table: np.ndarray):
 
     def surname_like(k, strict=False):
         w = toks[k][0]
-        if len(w) < 3 or facts[k][0] in _COMMON or facts[k][0] in GIVEN_FULL:
+        if len(w) < 2 or facts[k][0] in _COMMON or facts[k][0] in GIVEN_FULL:
             return False
         if w[0].isupper() and not strict:
-            return evidence(k) > 0 or (len(w) >= 6 and w.casefold() not in TITLES)
+            return evidence(k) > 0 or not facts[k][1] and not facts[k][5] & (COMMON | INITIAL) and w.casefold() not in TITLES
         return evidence(k) > 0
 
     def is_given(k):
         return facts[k][1]
 
+    def proper(k):
+        w, code = toks[k][0], facts[k][5]
+        return len(w) > 1 and w[0].isupper() and not w.isupper() and not facts[k][1] and (code & LOWER_SURNAME or not code & COMMON) and not code & (PLACE | INITIAL) and facts[k][0] not in _COMMON and facts[k][0] not in TITLES and facts[k][0] not in _FIRM_WORDS and _POSSESSIVE.search(w) is None
+
     while i < n:
         if not facts[i][3]:
             i += 1
@@ -252,12 +302,12 @@ def name_candidates(text: str, table: np.ndarray):
                 i = j + 1
                 continue
         # initials and surname
-        if len(word) == 1 and word.isupper() and text[e : e + 1] == ".":
+        if len(word) == 1 and word.isupper() and text[e : e + 1] == "." and not text[max(0, s - 2) : s].strip()[-1:].isdigit():
             j = i
             while j + 1 < n and len(toks[j + 1][0]) == 1 and toks[j + 1][0].isupper() and text[toks[j + 1][2] : toks[j + 1][2] + 1] == "." and blank(gap(j, j + 1).replace(".", "", 1)):
                 j += 1
             k = j + 1
-            if k < n and blank(gap(j, k).replace(".", "", 1)) and toks[k][0][0].isupper() and surname_like(k) and len(toks[k][0]) >= 5:
+            if k < n and blank(gap(j, k).replace(".", "", 1)) and toks[k][0][0].isupper() and surname_like(k) and len(toks[k][0]) >= 2:
                 if word == "M" and j == i and _french(text, s):
                     out.append((toks[k][1], toks[k][2], "titled", evidence(k)))
                 else:
@@ -265,7 +315,7 @@ def name_candidates(text: str, table: np.ndarray):
                 i = k + 1
                 continue
         titled = i > 0 and toks[i - 1][0].casefold() in TITLES and blank(gap(i - 1, i).replace(".", "", 1))
-        if word[0].isupper() and len(word) >= 3 and low not in _COMMON and low not in GIVEN_FULL or evidence(i) > 0 and not word[0].isupper():
+        if word[0].isupper() and len(word) >= 2 and low not in _COMMON and low not in GIVEN_FULL or evidence(i) > 0 and not word[0].isupper():
             # surname before the given name, with or without a comma
             if i + 1 < n and is_given(i + 1) and (word[0].isupper() or evidence(i) > 0):
                 g = gap(i, i + 1)
@@ -281,17 +331,28 @@ def name_candidates(text: str, table: np.ndarray):
                         out.append((s, end, "reversed", evidence(i)))
                         i = j
                         continue
-            if i + 1 < n and len(toks[i + 1][0]) == 1 and toks[i + 1][0].isupper() and re.fullmatch(r",\s", gap(i, i + 1)) and text[toks[i + 1][2] : toks[i + 1][2] + 1] == "." and evidence(i) > 0:
+            if i + 1 < n and len(toks[i + 1][0]) == 1 and (toks[i + 1][0].isupper() or not word[0].isupper()) and re.fullmatch(r",\s", gap(i, i + 1)) and text[toks[i + 1][2] : toks[i + 1][2] + 1] == "." and evidence(i) > 0:
                 out.append((s, toks[i + 1][2] + 1, "reversed", evidence(i)))
                 i += 2
                 continue
-            if titled and word[0].isupper() and (evidence(i) > 0 or len(word) >= 6):
+            if titled and word[0].isupper() and surname_like(i):
                 out.append((s, e, "titled", evidence(i)))
                 i += 1
                 continue
-            if word[0].isupper() and len(word) >= 5 and evidence(i) > 0:
+            # two or three words in a row that the corpus capitalises, the first of which no list holds
+            if proper(i) and not titled:
+                j = i
+                while j + 1 < n and j - i < 2 and blank(gap(j, j + 1)) and proper(j + 1):
+                    j += 1
+                if j > i and not (j + 1 < n and toks[j + 1][0][0].isupper() and blank(gap(j, j + 1))):
+                    out.append((s, toks[j][2], "pair", 2 * (facts[i][5] & FIRST > 0 and facts[j][5] & SECOND > 0)))
+                    i = j + 1
+                    continue
+            if word[0].isupper() and evidence(i) > 0 and (facts[i][5] & LOWER_SURNAME or not facts[i][5] & COMMON):
                 out.append((s, e, "alone", evidence(i)))
         i += 1
+    if _HAN_GATE.search(text) and not _KANA.search(text):
+        out += [(m.start(1), m.end(1), "han", 0) for m in _HAN_NAME.finditer(text)]
     return out
 
 
@@ -323,7 +384,7 @@ def candidates(text: str, table: np.ndarray):
             digits = sum(c.isdigit() for c in m.group())
             found.append(("phone", m.start(), m.end(), 1 if m.group()[0] in "+(0" and digits >= 9 else 0, "phone"))
     for s, e, form, ev in name_candidates(text, table):
-        found.append(("name", s, e, 1 if form in ("full", "reversed") and ev else 0, form + ("+" if ev > 1 else "-" if ev else "")))
+        found.append(("name", s, e, 1 if form in ("full", "reversed", "pair") and ev or form == "han" else 0, form + ("+" if ev > 1 else "-" if ev or form in ("pair", "han") else "")))
     out = []
     for kind, s, e, strict, form in found:
         left, right = text[max(0, s - 40) : s], text[e : e + 30]
@@ -333,6 +394,8 @@ def candidates(text: str, table: np.ndarray):
             label = 1
         elif kind in ("phone", "id_number", "email") and _DECOY.search(left):
             label = strict = -1
+        elif form.startswith("pair") and _PLACE_BEFORE.search(left):
+            label = strict = -1
         elif kind in ("phone", "id_number") and any(p.search(left) for k, p in _LABELS.items() if k != kind and k != "name"):
             label = -1
         elif kind != "name" and _NEUTRAL.search(left):
@@ -344,7 +407,7 @@ def candidates(text: str, table: np.ndarray):
         firm = kind == "name" and _ORG_NEXT.match(right) is not None
         if kind == "name" and gaz == 1 and not firm and form.startswith("alone"):
             strict = 1
-        after = -1 if firm or kind != "name" and re.match(r"\s*(?:is out of print|was missing|is not an|was tagged|N\b|kg|km)", right) else 0
+        after = -1 if firm or kind != "name" and re.match(r"\s*(?:N\b|kg|km)", right) else 0
         if kind == "name" and re.match(r"\s*,\s*\d", right) is None and after == 0 and form.startswith(("titled", "alone")):
             after = 1 if re.match(r"\s+(?:later|answered|wrote|said|paya|pagó|escribió|écrivit|schrieb)\b", right) else 0
         line_start = not left or left.endswith(("\n", "| ", ": ", "/ ", "– ", "; "))
@@ -360,7 +423,7 @@ def candidates(text: str, table: np.ndarray):
         elif kind == "address":
             shape = 1
         elif kind == "name":
-            shape = 1 if form.startswith(("full", "reversed", "initial", "titled")) or strict == 1 else 0
+            shape = 1 if form.startswith(("full", "reversed", "initial", "titled", "pair", "han")) or strict == 1 else 0
         votes = (strict, label, gaz, after, layout, shape)
         before, behind = " ".join(left.split()[-2:]).lower(), " ".join(right.split(None, 2)[:2]).lower()
         pattern = form if kind == "name" else re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d", "9", body)))[:24]
@@ -390,9 +453,10 @@ class Labelers:
                 for j in range(LABELERS):
                     for v in (-1, 0, 1):
                         at = p[:, j] == v
-                        # labelers are taken to be right more often than not: a vote for weighs towards true
-                        t[j, v + 1, 1] = (w1[at].sum() + (2.0 if v == 1 else 1.0)) / (w1.sum() + 4)
-                        t[j, v + 1, 0] = (w0[at].sum() + (2.0 if v == -1 else 1.0)) / (w0.sum() + 4)
+                        # labelers are taken to be right more often than not: a vote for weighs towards true, a vote
+                        # against, which few cast and only for a reason, more so towards false
+                        t[j, v + 1, 1] = (w1[at].sum() + (2.0 if v == 1 else 0.2 if v == -1 else 1.0)) / (w1.sum() + 3.2)
+                        t[j, v + 1, 0] = (w0[at].sum() + (0.2 * w0.sum() + 2.0 if v == -1 else 1.0)) / (1.2 * w0.sum() + 4)
                 log = np.log(prior / (1 - prior)) + sum(np.log(t[j, p[:, j] + 1, 1] / t[j, p[:, j] + 1, 0]) for j in range(LABELERS))
                 post = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
             self.table[kind], self.prior[kind] = t, prior
@@ -441,8 +505,7 @@ class SpanClassifier:
 def choose(text: str, table: np.ndarray, model: SpanClassifier) -> list[tuple[str, int, int]]:
     """The spans that the classifier accepts; earlier kinds and longer spans win where they overlap."""
     kept: list[tuple[str, int, int]] = []
-    # a decoy's label (votes[0] is -1 only after one) settles the matter, whatever the classifier learned
-    rows = [(KINDS.index(k), -(e - s), s, e, k) for k, s, e, votes, feats in candidates(text, table) if votes[0] >= 0 and model.score(k, votes, feats) > 0]
+    rows = [(KINDS.index(k), -(e - s), s, e, k) for k, s, e, votes, feats in candidates(text, table) if model.score(k, votes, feats) > 0]
     for _, _, s, e, k in sorted(rows):
         if all(e <= a or s >= b for _, a, b in kept):
             kept.append((k, s, e))
@@ -450,7 +513,7 @@ def choose(text: str, table: np.ndarray, model: SpanClassifier) -> list[tuple[st
 
 
 def train(documents: DataFrame, sample_rows: int = 3000) -> tuple[np.ndarray, SpanClassifier]:
-    table = surname_evidence(documents)
+    table = word_knowledge(documents)
     sample = hash_sample(documents.filter("text is not null").select("doc_id", "text"), ["doc_id"], sample_rows).collect()
     _FACTS.clear()
     rows = [(k, votes, feats) for r in sample for k, _, _, votes, feats in candidates(r["text"], table)]
@@ -482,13 +545,13 @@ def find_personal(documents: DataFrame, sample_rows: int = 3000, with_text: bool
     """doc_id, spans (kind, start_char, end_char), redacted: one row per document that is not null."""
     table, model = train(documents, sample_rows)
     used = np.flatnonzero(table)
-    sent = (used.astype(np.int32), np.minimum(table[used], 255).astype(np.uint8), model.votes, model.hashed)
+    sent = (used.astype(np.int32), table[used], model.votes, model.hashed, len(table))
     ready: list = []
 
     def scan(batch):
         if not ready:
             _FACTS.clear()
-            full, m = np.zeros(BUCKETS, dtype=np.uint8), SpanClassifier()
+            full, m = np.zeros(sent[4], dtype=np.uint8), SpanClassifier()
             full[sent[0]], m.votes, m.hashed = sent[1], sent[2], sent[3]
             ready.extend((full, m))
         out = {"doc_id": [], "spans": [], "redacted": []}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import mixture
 from quern.llm.defects import asked_languages, find_defects, is_copy, is_empty, question_language
-from quern.llm.personal import BUCKETS, KINDS, Labelers, SpanClassifier, _bucket, choose, find_personal, name_candidates, redact, span_rows, surname_evidence
+from quern.llm.personal import KINDS, LEAST_SLOTS, LOWER_SURNAME, STRONG, SURNAME, Labelers, SpanClassifier, _slot, choose, find_personal, name_candidates, redact, span_rows, word_knowledge
 
 
 @pytest.fixture(scope="module")
@@ -48,8 +48,8 @@ def test_kinds(found):
 
 
 def test_name_orders():
-    table = np.zeros(BUCKETS, dtype=np.int32)
-    table[_bucket("wunorodane")] = 9
+    table = np.zeros(LEAST_SLOTS, dtype=np.uint8)
+    table[_slot("wunorodane", table)] = SURNAME | STRONG | LOWER_SURNAME
     m = SpanClassifier()
     m.votes[:] = 0.3
     text = "OCTAVIA WUNORODANE, wunorodane octavia, Wunorodane, Octavia / O. Wunorodane and Wunorodane & Sons"
@@ -58,8 +58,8 @@ def test_name_orders():
 
 
 def test_ordinary_given_names_in_lower_case():
-    table = np.zeros(BUCKETS, dtype=np.int32)
-    table[_bucket("lendogeston")] = 9
+    table = np.zeros(LEAST_SLOTS, dtype=np.uint8)
+    table[_slot("lendogeston", table)] = SURNAME | STRONG | LOWER_SURNAME
 
     def of(text):
         return [text[s:e] for s, e, _, _ in name_candidates(text, table)]
@@ -72,8 +72,21 @@ def test_ordinary_given_names_in_lower_case():
 
 def test_surnames_with_inner_marks_are_counted(spark):
     df = spark.createDataFrame([("Thomas Smith-Jones met Margaret O'Brien's sister, Dr. Wunorodane's guest.",)], "text string")
-    table = surname_evidence(df)
-    assert all(table[_bucket(w)] == 1 for w in ("smith-jones", "smith", "o'brien", "wunorodane")) and not table[_bucket("wunorodane's")]
+    table = word_knowledge(df)
+    assert all(table[_slot(w, table)] & SURNAME for w in ("smith-jones", "smith", "o'brien", "wunorodane")) and not table[_slot("wunorodane's", table)] & SURNAME
+
+
+def test_names_outside_every_list_are_learned(spark):
+    """Given names that no list holds, short surnames, other scripts, any case; and capitalised words that are no names."""
+    names = ["Aisha Khan", "Giovanni Rossi", "Priya Natarajan", "Mary Lee", "Margaret Bell", "John Smith"]
+    places = ["Yesterday {} wrote a letter.", "We met {} at the station.", "The parcel was for {}, who lives by the river."]
+    texts = [t.format(n) for n in names for t in places for _ in range(4)]
+    texts += ["Вчера Анна Петрова написала письмо.", "Мы встретили её, это была Анна Петрова.", "Посылка для Анна Петрова пришла."] * 4
+    texts += ["昨天张伟给办公室写了一封信。", "我们在车站遇见了张伟。"]
+    texts += ["Then Thomas Kingsward left.", "then tom kingsward came in", "the entry is kingsward, M. there", "ed kingsward"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id][r.start_char : r.end_char] for r in span_rows(find_personal(df)).collect()}
+    assert got == {*names, "Анна Петрова", "张伟", "Thomas Kingsward", "tom kingsward", "kingsward, M.", "ed kingsward"}
 
 
 def test_labelers_trust_agreement():
