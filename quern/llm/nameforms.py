@@ -31,7 +31,9 @@ BUSINESS = {
     "association": "assoc assn", "department": "dept", "insurance": "ins", "foundry": "fdry", "brewery": "brew",
 }
 DETERMINERS = frozenset("the our my his her their your a an this that old".split())
-LEGAL = frozenset("ltd limited co company inc plc llc corp corporation gmbh and the messrs messers of & est".split())
+# Legal forms, and words that join the others.
+JOINING = "and the of & de del della di du des der die das für for la le el los y et und".split()
+LEGAL = frozenset([*"ltd limited co company inc incorporated plc llc llp corp corporation gmbh ag aktiengesellschaft gesellschaft mbh kg ohg sarl srl spa bv nv oy pty pte messrs messers est".split(), *JOINING])
 FEATURES = {
     "common": "comm cmn", "bridge": "brg br bdg", "junction": "jct junc jn", "harbour": "hbr harbor harb", "lock": "lk", "abbey": "abb aby",
     "station": "stn sta", "mill": "ml", "wood": "wd", "hill": "hl", "park": "pk", "cross": "x crs", "green": "grn", "quay": "qy",

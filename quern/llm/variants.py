@@ -1,12 +1,20 @@
 """Linking the variant spellings of persons, organisations and places.
 
-Names are read into a fixed part that must agree (given name, kind of business, added words of
-a place) and a core that may hold slips of the keyboard.  Distinct cores are joined within
-edit distance by metric-space partitioning: every core is assigned to its nearest pivot and
-replicated to each pivot whose cell may hold a core within the radius (by the triangle
-inequality, d(x, pivot) <= d(x, nearest) + 2 * radius); an exact join with the Levenshtein metric
-runs inside each cell.  Initials and ambiguous pet forms join the one full given name that
-fits in their surname's component.
+Names are read into a fixed part (given name, kind of business, added words of a place) and a core.
+Three sets of distinct strings are joined within edit distance by metric-space partitioning: the
+surnames of all persons, their given names, and the cores of organisations and places under each fixed part.
+Every string is assigned to its nearest pivot and replicated to each pivot whose cell may hold a
+string within the radius (by the triangle inequality, d(x, pivot) <= d(x, nearest) + 2 * radius); an
+exact join with the Levenshtein metric runs inside each cell.  The number of pivots grows with the
+square root of a block, and a cell above cell_rows is cut into parts that meet two by two, so no task
+holds more than twice that.
+
+Two persons are linked if surname and given name both agree within the radius.  Lists of given
+names are evidence only: different listed names are different, as are two that many surnames bear; any
+other given name may hold slips, and a short one that shares four letters with a single longer one under
+the same surname is taken for its pet form.  Initials and ambiguous pet forms join the one full given name
+that fits.  Organisations and places are linked too if their words align, each equal to the other's
+or a beginning of it, and an acronym joins the one name whose initials it holds.
 
 Cases: null, empty or unreadable names link to nothing; repeated rows and aliases count once;
 an alias that is a bare surname or a role word is ignored, as many entities share it; empty
@@ -22,7 +30,7 @@ from pyspark.sql import types as T
 
 from quern.functions.arrow import apply_groups, map_batches
 from quern.functions.edit import encode, levenshtein_pairs, levenshtein_table
-from quern.llm.nameforms import is_role, read_name
+from quern.llm.nameforms import GIVEN, JOINING, is_role, read_name
 from quern.operators.graph import connected_components
 from quern.runtime import durable
 
@@ -65,17 +73,23 @@ def read_forms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return forms.join(kinds, "entity_id", "left").filter("own_typ is null or typ = own_typ").drop("own_typ")
 
 
-def metric_join(names: DataFrame, radius: int = 2, pivots: int = 16, short: int = 6) -> DataFrame:
+def metric_join(names: DataFrame, radius: int = 2, pivots: int | None = None, short: int = 6, cell_rows: int = 4000) -> DataFrame:
     """Pairs (block, a, b), a < b, of distinct names of a block within the radius of each other.
 
     names: block STRING, name STRING.  Names of fewer than `short` letters must be within one
-    edit.  The result doesn't depend on the choice of the pivots.
+    edit.  pivots: by default the square root of the block's names, 16 to 256.  The result doesn't depend on
+    the choice of the pivots.
     """
-    distinct = names.select("block", "name").filter("name is not null and block is not null").distinct()
+    distinct = durable(names.select("block", "name").filter("name is not null and block is not null").distinct())
+    sizes = distinct.groupBy("block").agg(F.count("*").alias("n"))
+    wanted = F.lit(pivots) if pivots else F.greatest(F.lit(16), F.least(F.lit(256), F.ceil(F.sqrt("n")).cast("int")))
     order = Window.partitionBy("block").orderBy(F.xxhash64("name"), "name")
+    # a share of each block, at least all of a small one, is ranked: about four times the pivots
+    share = F.pmod(F.xxhash64(F.lit(1), "name"), F.lit(1 << 20)) * F.col("n") <= F.lit(4 << 20) * F.col("pivots")
     chosen = (
-        distinct.withColumn("r", F.row_number().over(order))
-        .filter(F.col("r") <= pivots)
+        distinct.join(sizes.withColumn("pivots", wanted), "block").filter(share)
+        .withColumn("r", F.row_number().over(order))
+        .filter(F.col("r") <= F.col("pivots"))
         .groupBy("block")
         .agg(F.sort_array(F.collect_list("name")).alias("pivots"))
     )
@@ -107,25 +121,42 @@ def metric_join(names: DataFrame, radius: int = 2, pivots: int = 16, short: int
             out["d"] += table[rows, cols].tolist()
         return out
 
-    assigned = map_batches(distinct.join(chosen, "block").select("block", "name", "pivots"), cells, assign)
+    assigned = durable(map_batches(distinct.join(chosen, "block").select("block", "name", "pivots"), cells, assign))
+    # a large cell is cut into parts by hash; every two of them meet, and each one itself
+    parts = assigned.groupBy("block", "cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+    met = (
+        assigned.join(parts, ["block", "cell"]).withColumn("part", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("block", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "name", "home", "d")
+    )
     pairs = T.StructType([T.StructField("block", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 
     def join_cell(table):
         table = table.sort_by([("d", "ascending"), ("name", "ascending")])
         own = table["name"].to_pylist()
         codes, lengths = encode(own)
-        d, home = table["d"].to_numpy(), np.array(table["home"].to_pylist(), dtype=bool)
+        # an edit changes at most two of the letter counts, so most pairs need no exact distance
+        letters = np.zeros((len(own), 32), dtype=np.int8)
+        for k in range(codes.shape[1]):
+            at = np.flatnonzero(lengths > k)
+            np.add.at(letters, (at, codes[at, k] % 32), 1)
+        d, home, part = table["d"].to_numpy(), np.array(table["home"].to_pylist(), dtype=bool), table["part"].to_numpy()
+        apart = table["i"][0].as_py() != table["j"][0].as_py()
         found_a, found_b = [], []
         for i in np.nonzero(home)[0]:
             lo, hi = np.searchsorted(d, d[i] - radius, "left"), np.searchsorted(d, d[i] + radius, "right")
             near = np.arange(lo, hi)
             near = near[np.abs(lengths[near] - lengths[i]) <= radius]
             near = near[(near > i) | ~home[near]]
+            if apart:
+                near = near[part[near] != part[i]]
+            near = near[np.abs(letters[near] - letters[i]).sum(axis=1, dtype=np.int16) <= 2 * radius]
             if not len(near):
                 continue
             mine = np.full(len(near), i)
             dist = levenshtein_pairs(codes[mine], lengths[mine], codes[near], lengths[near])
-            allowed = np.where(np.minimum(lengths[near], lengths[i]) < short, 1, radius)
+            allowed = np.where(np.minimum(lengths[near], lengths[i]) < short, min(1, radius), radius)
             for j in near[dist <= allowed]:
                 a, b = sorted((own[i], own[j]))
                 if a != b:
@@ -133,47 +164,106 @@ def metric_join(names: DataFrame, radius: int = 2, pivots: int = 16, short: int
                     found_b.append(b)
         return {"block": [table["block"][0].as_py()] * len(found_a), "a": found_a, "b": found_b} if found_a else None
 
-    return apply_groups(assigned, ["block", "cell"], pairs, join_cell).distinct()
+    return apply_groups(met, ["block", "cell", "i", "j"], pairs, join_cell).distinct()
 
 
-def link_variants(entities: DataFrame, aliases: DataFrame, radius: int = 2) -> DataFrame:
-    """entity_id, group_id: the groups of entities that mean the same; entities without any link are left out."""
-    forms = durable(read_forms(entities, aliases))
-    blocked = forms.withColumn(
-        "block", F.concat_ws("|", "typ", F.when(F.col("typ") == "person", F.substring(F.col("options")[0], 1, 1)).otherwise(F.col("fixed")))
-    )
-    # an ambiguous pet form belongs to the block of each given name that it may stand for
-    opened = blocked.filter("typ = 'person'").select(
-        "typ", F.explode("options").alias("o"), "core"
-    ).select(F.concat_ws("|", F.lit("person"), F.substring("o", 1, 1)).alias("block"), F.col("core").alias("name"))
-    cores = opened.union(blocked.filter("typ <> 'person'").select("block", F.col("core").alias("name")))
-    near = metric_join(cores, radius)
-    edges = near.select(F.concat_ws("#", "block", "a").alias("a"), F.concat_ws("#", "block", "b").alias("b"))
-    comps = connected_components(edges)
-    options = forms.withColumn("o", F.explode(F.when(F.col("typ") == "person", F.col("options")).otherwise(F.array("fixed"))))
-    nodes = options.select(
-        "entity_id", "own", "typ", "fixed", F.size("options").alias("n"), "o", "core",
-        F.concat_ws("#", F.concat_ws("|", "typ", F.when(F.col("typ") == "person", F.substring("o", 1, 1)).otherwise(F.col("fixed"))), "core").alias("node"),
-    )
-    nodes = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    settled = nodes.filter("typ <> 'person' or fixed <> ''").select(
-        "entity_id", "own", F.concat_ws("~", "comp", F.when(F.col("typ") == "person", F.col("fixed")).otherwise(F.lit(""))).alias("identity")
+def _both(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs in both directions."""
+    return pairs.select(F.col("a").alias(a), F.col("b").alias(b)).union(pairs.select(F.col("b").alias(a), F.col("a").alias(b)))
+
+
+def _aligned(cores: DataFrame) -> DataFrame:
+    """Edges between cores (block, name) whose words align in order, each equal to the other's or a beginning of it."""
+    words = F.filter(F.split("name", " "), lambda w: (w != "") & ~w.isin(*JOINING))
+    own = cores.select("block", "name", words.alias("w")).filter("size(w) > 1")
+    keyed = own.select("block", "name", "w", F.concat_ws("", F.transform("w", lambda x: F.substring(x, 1, 1))).alias("initials"), F.explode(F.array_distinct("w")).alias("word"))
+    keyed = keyed.filter("length(word) >= 4")
+    a = keyed.select("block", "initials", "word", F.col("name").alias("na"), F.col("w").alias("wa"))
+    b = keyed.select("block", "initials", "word", F.col("name").alias("nb"), F.col("w").alias("wb"))
+    fits = F.forall(F.zip_with("wa", "wb", lambda x, y: x.startswith(y) | y.startswith(x)), lambda z: z)
+    met = a.join(b, ["block", "initials", "word"]).filter((F.col("na") < F.col("nb")) & (F.size("wa") == F.size("wb")) & fits)
+    return met.select("block", F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
+
+
+def _acronyms(cores: DataFrame) -> DataFrame:
+    """Edges between a single word of three to six letters and the one core of the same block whose words begin with them."""
+    words = F.filter(F.split("name", " "), lambda w: (w != "") & ~w.isin(*JOINING))
+    own = cores.select("block", "name", words.alias("w"))
+    full = own.filter("size(w) between 3 and 6").select("block", F.concat_ws("", F.transform("w", lambda x: F.substring(x, 1, 1))).alias("a"), "name")
+    one = full.groupBy("block", "a").agg(F.min("name").alias("b"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    return own.filter("size(w) = 1").select("block", F.col("name").alias("a")).join(one, ["block", "a"])
+
+
+def _given_edges(people: DataFrame, radius: int, established: int) -> DataFrame:
+    """Edges between persons (node, given, core) of one surname whose given names are slips or pet forms of each other.
+
+    At least one of the two is in no list; two names that `established` surnames bear are different.
+    """
+    known = sorted(GIVEN)
+    bare = people.filter(~F.col("given").contains("*") & ~F.col("given").contains("/"))
+    borne = bare.groupBy("given").agg(F.count("*").alias("n"))
+    near = metric_join(borne.select(F.lit("given").alias("block"), F.col("given").alias("name")), radius, short=8)
+    n = borne.select("given", "n", F.col("given").isin(*known).alias("listed"))
+    slips = (
+        near.join(n.select(F.col("given").alias("a"), F.col("n").alias("n1"), F.col("listed").alias("l1")), "a")
+        .join(n.select(F.col("given").alias("b"), F.col("n").alias("n2"), F.col("listed").alias("l2")), "b")
+        .filter(~(F.col("l1") & F.col("l2")) & (F.least("n1", "n2") < established) & (F.substring("a", 1, 1) == F.substring("b", 1, 1)))
     )
-    full = nodes.filter("typ = 'person' and fixed <> ''").select("comp", F.col("fixed").alias("full")).distinct()
-    open_forms = nodes.filter("typ = 'person' and fixed = ''").select("entity_id", "own", "comp", "o").distinct()
-    fitting = (
-        open_forms.join(full, "comp")
+    left = bare.select("core", F.col("given").alias("a"), F.col("node").alias("na"))
+    right = bare.select("core", F.col("given").alias("b"), F.col("node").alias("nb"))
+    slipped = left.join(slips.select("a", "b"), "a").join(right, ["core", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    four = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("given") - 3)), lambda i: F.substring(F.col("given"), i, F.lit(4)))
+    grams = bare.filter(F.length("given") >= 4).select("core", "given", "node", F.explode(F.array_distinct(four)).alias("gram"))
+    pet = grams.filter(~F.col("given").isin(*known) & (F.length("given") <= 6)).select("core", "gram", F.col("node").alias("a"), F.length("given").alias("size"))
+    long = grams.select("core", "gram", F.col("node").alias("b"), F.length("given").alias("longer"))
+    fits = pet.join(long, ["core", "gram"]).filter(F.col("longer") >= F.col("size") + 3).groupBy("a").agg(
+        F.min("b").alias("b"), F.max("b").alias("other")
+    ).filter("b = other").select("a", "b")
+    return slipped.unionByName(fits)
+
+
+def link_variants(entities: DataFrame, aliases: DataFrame, radius: int = 2, established: int = 5) -> DataFrame:
+    """entity_id, group_id, links: the groups of entities that mean the same and how many others each is linked to; entities without
+    any link are left out."""
+    forms = durable(read_forms(entities, aliases))
+    wide = lambda t: F.col(t) == "person"
+    blocked = forms.withColumn("block", F.when(wide("typ"), F.lit("person")).otherwise(F.concat_ws("|", "typ", "fixed")))
+    near = durable(metric_join(blocked.select("block", F.col("core").alias("name")), radius))
+    # a person's node is the given name and the surname; of a form without one given name, the names or the initial it may stand for
+    given = F.when(F.col("fixed") != "", F.col("fixed")).otherwise(F.array_join(F.array_sort("options"), "/"))
+    persons = durable(blocked.filter(wide("typ")).select("entity_id", "own", given.alias("given"), "options", "core", F.concat_ws("#", given, "core").alias("node")))
+    people = persons.select("node", "given", "core").distinct()
+    around = _both(near.filter("block = 'person'"), "core", "core_b")
+    like = people.join(around, "core").select("given", F.col("node").alias("a"), F.col("core_b").alias("core")).join(people, ["given", "core"])
+    edges = like.select("a", F.col("node").alias("b")).unionByName(_given_edges(people, radius, established))
+    rest = blocked.filter(~wide("typ"))
+    cores = durable(rest.select("block", F.col("core").alias("name")).distinct())
+    flat = near.filter("block <> 'person'").unionByName(_aligned(cores)).unionByName(_acronyms(cores).select("block", "a", "b"))
+    edges = edges.unionByName(flat.select(F.concat_ws("#", "block", "a").alias("a"), F.concat_ws("#", "block", "b").alias("b")))
+    comps = durable(connected_components(edges))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+    others = placed(rest.select("entity_id", "own", F.concat_ws("#", "block", "core").alias("node"))).select("entity_id", "own", F.col("comp").alias("identity"))
+    single = F.size("options") == 1
+    full = placed(persons.filter(single & ~F.col("given").contains("*")))
+    settled = full.select("entity_id", "own", F.col("comp").alias("identity"))
+    # initials and ambiguous pet forms: the full names of the same or a near surname that fit
+    open_forms = placed(persons.filter(~(single & ~F.col("given").contains("*"))))
+    shapes = open_forms.select("node", "options", "core").distinct().withColumn("o", F.explode("options")).drop("options")
+    reach = shapes.join(around, "core").select("node", "o", F.col("core_b").alias("core")).unionByName(shapes.select("node", "o", "core"))
+    known = full.select("core", F.col("given").alias("full"), F.col("comp").alias("fit")).distinct()
+    fits = (
+        reach.join(known, "core")
         .filter(F.when(F.col("o").endswith("*"), F.col("full").startswith(F.expr("substring(o, 1, length(o) - 1)"))).otherwise(F.col("o") == F.col("full")))
-        .groupBy("entity_id", "own")
-        .agg(F.collect_set(F.struct("comp", "full")).alias("fits"))
-    )
-    resolved = fitting.filter("size(fits) = 1").select(
-        "entity_id", "own", F.concat_ws("~", F.col("fits")[0]["comp"], F.col("fits")[0]["full"]).alias("identity")
-    )
-    alone = open_forms.join(fitting.select("entity_id", "own"), ["entity_id", "own"], "left_anti").filter("o like '%*'").select(
-        "entity_id", "own", F.concat_ws("~", "comp", "o").alias("identity")
+        .groupBy("node").agg(F.min("fit").alias("fit"), F.max("fit").alias("last"))
+    )
+    # without any that fits they are names of their own; with several they stay open
+    resolved = open_forms.join(fits, "node", "left").filter("fit is null or fit = last").select(
+        "entity_id", "own", F.coalesce("fit", "comp").alias("identity")
     )
-    members = durable(settled.unionByName(resolved).unionByName(alone).distinct())
+    members = durable(others.unionByName(settled).unionByName(resolved).distinct())
     # two identities that one entity bears under its own name and an alias are the same
     bridge = members.filter("own").select("entity_id", F.col("identity").alias("a")).join(
         members.filter("not own").select("entity_id", F.col("identity").alias("b")), "entity_id"
@@ -186,7 +276,8 @@ def link_variants(entities: DataFrame, aliases: DataFrame, radius: int = 2) -> D
     final = final.join(same.select(F.col("node").alias("identity"), F.col("component").alias("merged")), "identity", "left")
     final = final.select("entity_id", F.coalesce("merged", "identity").alias("identity")).distinct()
     groups = final.groupBy("identity").agg(F.min("entity_id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
-    return final.join(groups, "identity").select("entity_id", "group_id").distinct()
+    linked = final.join(groups, "identity").select("entity_id", "group_id", (F.col("n") - 1).alias("links"))
+    return linked.groupBy("entity_id", "group_id").agg(F.max("links").alias("links"))
 
 
 def variant_pairs(groups: DataFrame) -> DataFrame:

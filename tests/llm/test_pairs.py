@@ -137,6 +137,8 @@ def test_metric_join_is_exact(spark):
     d = levenshtein_table(names, names)
     want = {(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and d[i, j] <= 2}
     assert got == want
+    # cells cut into parts, and pivots by the size of the block, give the same
+    assert {(r.a, r.b) for r in metric_join(df, radius=2, short=0, cell_rows=10).collect()} == want
 
 
 def test_name_forms():
@@ -161,6 +163,22 @@ def test_variants(spark):
     assert got == {(x, y) for x in people for y in people if x < y} | {(5, 6)}
 
 
+def test_variants_outside_the_lists(spark):
+    """Slips and pet forms of given names that no list holds, legal forms, abbreviations, acronyms; and names that differ."""
+    e = [
+        (1, "Mohammed Hassanpour", "person"), (2, "Mohamed Hassanpour", "person"), (3, "Wolfgang Beckermann", "person"), (4, "Wolfgnag Beckermann", "person"),
+        (5, "Guadalupe Fernandez", "person"), (6, "Lupe Fernandez", "person"), (7, "Anastasia Petrovskaya", "person"), (8, "Nastya Petrovskaya", "person"),
+        (9, "Steinbach AG", "org"), (10, "Steinbach Aktiengesellschaft", "org"), (11, "Universidad de Salamanca", "org"), (12, "Univ. de Salamanca", "org"),
+        (13, "International Business Machines", "org"), (14, "IBM", "org"), (15, "Karen Hassanpour", "person"), (16, "Christina Beckermann", "person"),
+        (17, "Christopher Beckermann", "person"), (18, "Ted Ollerby", "person"), (19, "Ted Ollerbey", "person"), (20, "Universidad de Sevilla", "org"),
+    ]
+    es = spark.createDataFrame(e, "id long, canonical_name string, kind string")
+    groups = link_variants(es, spark.createDataFrame([], "entity_id long, alias string"))
+    got = {(r.entity_id_a, r.entity_id_b) for r in variant_pairs(groups).collect()}
+    assert got == {(1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (11, 12), (13, 14), (18, 19)}
+    assert {r.links for r in groups.collect()} == {1}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(8)
     vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(200)]
