@@ -1,12 +1,15 @@
 """Mixing sources to target shares of the total size in tokens, with capped repeats.
 
-Every document is hashed into one of a fixed number of blocks of its source, so the plan is made
-from block sums whose number doesn't grow with the data.  A source whose quota exceeds its size is
+Every document is hashed into one of the blocks of its source; a source has at least `least_blocks`
+blocks and as many more as keep a block at about `block_rows` documents, so the plan is made from
+block sums and no task orders more than a block.  A source whose quota exceeds its size is
 passed over more than once; the last pass takes whole blocks in random order and a part of one
 more.  The block draws of all sources are divided among the output shards by a splitting tree:
 each node draws from the multivariate hypergeometric distribution how many of each source's
 draws go to its left half, down to single shards, so every shard gets exact quotas and a fair mix.
-Shards then draw disjoint blocks of each source's permutation and shuffle their rows locally.
+Shards then draw disjoint blocks of each source's permutation and shuffle their rows locally; their number
+follows from the tokens wanted.  Whether a source reaches its share is read off the draw: it fell short if every one of its
+documents was drawn as often as allowed and their tokens are still fewer than wanted.
 
 Cases: documents without text have no tokens and are left out; labels are compared without case
 and outer blanks; a null or blank source belongs to no target and isn't part of the total;
@@ -81,7 +84,7 @@ def clean_targets(targets: DataFrame) -> DataFrame:
 
 
 def plan_shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target: its size, the tokens wanted of it, what it can give, and whether that suffices."""
+    """Per target: its size, the tokens wanted of it, and the most that it can give."""
     by_label = sizes.groupBy("label").agg(F.sum("tokens").alias("size"), F.count("*").alias("documents"))
     total = by_label.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     return (
@@ -94,7 +97,6 @@ def plan_shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             (F.col("target_share") * F.col("total")).alias("wanted"),
             (F.coalesce("size", F.lit(0)) * F.col("max_repeats")).cast("double").alias("capacity"),
         )
-        .withColumn("reachable", F.col("capacity") >= F.col("wanted"))
     )
 
 
@@ -117,22 +119,23 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
 
 
 def draw_mixture(
-    sizes: DataFrame, targets: DataFrame, shards: int = 8, blocks: int = 64, seed: int = 11
+    sizes: DataFrame, targets: DataFrame, shards: int | None = None, least_blocks: int = 64, block_rows: int = 100_000,
+    shard_tokens: int = 1 << 28, seed: int = 11,
 ) -> DataFrame:
     """shard, position key, label, doc_id, pass, tokens: the mixture, sorted within its shards.
 
-    `blocks` is the number of blocks of a source; raise it with the data, so that a block's rows
-    stay within one task.
+    shards: by default as many as hold shard_tokens tokens each, at least 8.
     """
     spark = sizes.sparkSession
-    sized = durable(
-        sizes.filter("tokens > 0").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int"))
-    )
-    # at most blocks rows per target and one row per target reach the driver
-    plan = {r["label"]: r for r in plan_shares(sized, targets).collect()}
-    known = spark.createDataFrame([(k,) for k in plan], "label string")
+    sizes = durable(sizes.filter("tokens > 0"))
+    # one row per target reaches the driver
+    plan = {r["label"]: r for r in plan_shares(sizes, targets).collect()}
+    known = spark.createDataFrame([(k, max(least_blocks, -(-r["documents"] // block_rows))) for k, r in plan.items()], "label string, blocks long")
+    sized = sizes.join(F.broadcast(known), "label").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")).cast("int")).drop("blocks")
+    shards = shards or max(8, -(-int(sum(min(r["wanted"], r["capacity"]) for r in plan.values())) // shard_tokens))
+    # one row per block reaches the driver
     sums: dict[str, dict[int, int]] = {}
-    for r in sized.join(F.broadcast(known), "label").groupBy("label", "block").agg(F.sum("tokens").alias("n")).collect():
+    for r in sized.groupBy("label", "block").agg(F.sum("tokens").alias("n")).collect():
         sums.setdefault(r["label"], {})[r["block"]] = r["n"]
     rng = np.random.default_rng(seed)
     labels = sorted(sums)
@@ -161,8 +164,8 @@ def draw_mixture(
                 rows.append((label, int(b), int(p), int(take), shard))
             at += int(counts[shard, k])
     mapping = spark.createDataFrame(rows, "label string, block int, pass int, take long, shard int")
-    # the mapping has at most targets x blocks x max_repeats rows, whatever the corpus
-    drawn = sized.join(F.broadcast(mapping), ["label", "block"])
+    # the mapping has one row per draw of a block; beyond a million of them (about 40 MB) it is joined by shuffle
+    drawn = sized.join(F.broadcast(mapping) if len(rows) <= 1_000_000 else mapping, ["label", "block"])
     order = Window.partitionBy("label", "block", "pass").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
     part = drawn.filter("take >= 0").withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
     part = part.filter(F.col("before") + F.col("tokens") / 2 <= F.col("take")).drop("before")
@@ -170,21 +173,22 @@ def draw_mixture(
     key = F.xxhash64(F.lit(seed + 2), "doc_id", "pass")
     return (
         mixed.select("shard", key.alias("order_key"), "label", "doc_id", "pass", "tokens")
-        .repartition(shards, "shard")
+        .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "order_key", "doc_id")
     )
 
 
 def reached_shares(mixture: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per target: its target share, the share reached, its tokens, documents and the most uses of one document."""
+    """Per target: its target share, the share reached, its tokens, documents, the most uses of one document, and whether the draw
+    reached what was wanted of it: it did unless every document was used up and the tokens are still too few."""
     used = mixture.groupBy("label", "doc_id").agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
     by = used.groupBy("label").agg(
         F.sum("tokens").alias("drawn"), F.count("*").alias("distinct_documents"), F.max("uses").alias("most_uses")
     )
     total = by.agg(F.sum("drawn").alias("all_drawn"))
-    return plan.join(by, "label", "left").join(F.broadcast(total)).select(
-        "source", "target_share",
-        F.round(F.coalesce(F.col("drawn") / F.col("all_drawn"), F.lit(0.0)), 6).alias("reached_share"),
-        F.coalesce("drawn", F.lit(0)).alias("tokens"), F.coalesce("distinct_documents", F.lit(0)).alias("documents"),
-        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats", "reachable",
+    drawn = F.coalesce("drawn", F.lit(0))
+    return plan.join(by, "label", "left").join(F.broadcast(total)).select(  # total is one row
+        "source", "target_share", F.round(F.coalesce(drawn / F.col("all_drawn"), F.lit(0.0)), 6).alias("reached_share"), drawn.alias("tokens"),
+        F.coalesce("distinct_documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats",
+        (~((drawn >= F.col("capacity")) & (drawn < F.col("wanted")))).alias("reachable"),
     )

@@ -136,7 +136,7 @@ def test_mixture(spark):
     sizes = spark.createDataFrame([(i, s.strip().lower(), n) for i, s, n in docs if s and s.strip()], "doc_id long, label string, tokens long")
     targets = spark.createDataFrame([("A", 0.5, 1), ("b", 0.2, 2), ("d", 0.1, 9), (None, 0.2, 1), ("c", None, None)], "source string, target_share double, max_repeats int")
     plan = mixture.plan_shares(sizes, targets)
-    mix = mixture.draw_mixture(sizes, targets, shards=4, blocks=16).cache()
+    mix = mixture.draw_mixture(sizes, targets, shards=4, least_blocks=16).cache()
     assert mix.groupBy("doc_id", "pass").count().filter("count > 1").count() == 0
     got = {r.source: r for r in mixture.reached_shares(mix, plan).collect()}
     total = sum(n for _, s, n in docs if s and s.strip())
