@@ -250,7 +250,7 @@ def _facts(word: str, table: np.ndarray) -> tuple:
         upper = word[0].isupper()
         n = (1 + (code & STRONG > 0)) if code & (SURNAME if upper else LOWER_SURNAME) else 0
         given = low in _PET
-        got = _FACTS[word] = (low, given, n, given or n > 0 or upper and low not in _COMMON, n > 0 and not upper and low not in _COMMON, code)
+        got = _FACTS[word] = (low, given, n, given or n > 0 or upper and (low not in _COMMON or len(word) == 1), n > 0 and not upper and low not in _COMMON, code)
     return got
 
 
@@ -320,7 +320,8 @@ def name_candidates(text: str, table: np.ndarray):
             if i + 1 < n and is_given(i + 1) and (word[0].isupper() or evidence(i) > 0):
                 g = gap(i, i + 1)
                 comma = bool(re.fullmatch(r",\s?", g))
-                if (comma or blank(g)) and evidence(i) > 0:
+                preposition = not comma and facts[i + 1][0] in _ORDINARY and toks[i + 1][0][0].islower() and word[0].isupper()
+                if (comma or blank(g) and not preposition) and evidence(i) > 0:
                     j = i + 2
                     end = toks[i + 1][2]
                     while j < n and len(toks[j][0]) == 1 and toks[j][0].isupper() and blank(gap(j - 1, j).replace(".", "", 1)):
