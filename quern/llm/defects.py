@@ -4,8 +4,11 @@ A multi-label linear classifier over hashed n-grams of the answer and features o
 is trained on a bounded sample of rows (sample_rows, a parameter) whose clean answers are cut
 short, exchanged for the question, for a refusal or for an answer in another language, or
 emptied; one threshold per label is calibrated on held-out synthetic pairs.  Word statistics for
-telling languages apart are counted over all rows, by Spark.  Every row is then scored, and an
-exact reading of the pair (only tags and fillers; nothing but the question) settles its label.
+telling languages apart are counted over all rows, by Spark; the `vocabulary_rows` most widespread
+of them are sent to the tasks.  Every row is then scored, and a label is given where its score passes its threshold, the first
+of LABELS where several do.  What can be read off the pair exactly (only tags and fillers; nothing but the
+question) is a feature like the others.  An answer of several sentences is a refusal if the least
+of their scores passes.
 
 Cases: a null answer is empty; a null question or q_type leaves only the answer to judge;
 answerable null counts as true; a row delivered twice is reported once; other columns are
@@ -18,6 +21,7 @@ import random
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 
 from quern.functions.arrow import map_batches
 from quern.llm.automaton import sentence_spans
-from quern.runtime import hash_sample
+from quern.runtime import durable, hash_sample
 
 LABELS = ("empty", "copies_question", "refusal", "wrong_language", "truncated")
 BITS = 17
@@ -62,6 +66,7 @@ _REQUESTS = {k: re.compile(v, re.IGNORECASE) for k, v in REQUESTS.items()}
 _REQUEST_PART = re.compile(
     r"^[^:：]{0,40}[:：]\s*(?=\S)|\s*[(（][^()（）]{0,40}[)）]\s*$",
 )
+_EMPTIES = ["", " ", "...", "-", "[C1]", "\n", *(f + end for f in ("N/A", "n/a", "NA", "null", "None", "nil", "TBD", "无", "k. A.") for end in ("", ".", " [C1]"))]
 REFUSALS = {
     "en": ["I don't know.", "I cannot answer this question.", "I'm sorry, but I can't answer that.", "The context does not mention it.", "There is no information about this.", "Not stated in the text.", "I am unable to help with that.", "The answer cannot be determined from the sources.", "I would rather not say.", "The passages leave this open.", "No information is available.", "As an AI I cannot comment on that."],
     "de": ["Ich weiß es nicht.", "Das kann ich nicht beantworten.", "Dazu gibt es keine Angaben.", "Der Text enthält keine Information darüber.", "Leider kann ich dabei nicht helfen.", "Das geht aus den Auszügen nicht hervor."],
@@ -114,7 +119,12 @@ def is_copy(question: str | None, answer: str | None) -> bool:
     return any(len(v) and squeezed == "".join(v) for v in variants)
 
 
+_OTHER_SCRIPT = re.compile("[\u0400-\u04ff\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
+
+
 def script_of(text: str) -> str | None:
+    if not _OTHER_SCRIPT.search(text):
+        return None
     counts = {"zh": 0, "ja": 0, "ru": 0, "hi": 0, "th": 0, "ar": 0, "ko": 0}
     for c in text:
         o = ord(c)
@@ -136,6 +146,7 @@ def script_of(text: str) -> str | None:
     return best if counts[best] >= 2 else None
 
 
+@lru_cache(maxsize=1 << 16)
 def question_language(question: str | None) -> str | None:
     """The language of a question, its request for another language left out."""
     if not question:
@@ -159,11 +170,12 @@ def question_language(question: str | None) -> str | None:
 _FUNCTION = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 
 
-def asked_languages(question: str | None) -> set[str]:
+@lru_cache(maxsize=1 << 16)
+def asked_languages(question: str | None) -> frozenset[str]:
     """The languages in which an answer is right."""
     found = {k for k, p in _REQUESTS.items() if question and p.search(question)}
     own = question_language(question)
-    return found | ({own} if own else set())
+    return frozenset(found | ({own} if own else set()))
 
 
 def answer_words(answer: str | None) -> list[str]:
@@ -296,6 +308,33 @@ def features(question: str | None, answer: str | None, languages: Languages, cac
     return hashed, dense
 
 
+class _Rows:
+    """Feature rows as flat arrays: the hashed numbers of all rows one after the other, and the dense matrix."""
+
+    def __init__(self, rows):
+        sizes = np.array([len(h) for h, _ in rows], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.hashed = np.fromiter((x for h, _ in rows for x in h), dtype=np.int64, count=int(self.start[-1]))
+        self.dense = np.array([d for _, d in rows], dtype=np.float32).reshape(len(rows), DENSE)
+        self.value = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32)
+
+    def entries(self, at: np.ndarray):
+        """Hashed numbers of the chosen rows, the place of each one's row in `at`, and its weight."""
+        size = self.start[at + 1] - self.start[at]
+        which = np.repeat(np.arange(len(at)), size)
+        first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(at) else np.zeros(0, np.int64)
+        own = self.hashed[np.arange(len(which)) - first[which] + self.start[at][which]]
+        return own, which, self.value[at][which]
+
+    def scores(self, model: LinearModel, at) -> np.ndarray:
+        at = np.arange(len(self.dense))[at]
+        out = self.dense[at] @ model.d.T
+        own, which, value = self.entries(at)
+        for k in range(len(LABELS)):
+            out[:, k] += np.bincount(which, model.w[k, own] * value, len(at)).astype(np.float32)
+        return out
+
+
 class LinearModel:
     """One-vs-rest logistic regression over hashed and dense features, fitted by Adagrad."""
 
@@ -310,33 +349,39 @@ class LinearModel:
             s = s + self.w[:, hashed].sum(axis=1) / np.sqrt(len(hashed))
         return s
 
-    def fit(self, rows, labels, epochs: int = 6, rate: float = 0.3, seed: int = 0):
-        gw = np.full_like(self.w, 1e-3)
-        gd = np.full_like(self.d, 1e-3)
-        order = np.arange(len(rows))
+    def scores(self, rows) -> np.ndarray:
+        """rows x labels."""
+        return _Rows(rows).scores(self, slice(0, len(rows)))
+
+    def fit(self, rows, labels, epochs: int = 6, rate: float = 0.3, seed: int = 0, batch: int = 64):
+        """Adagrad over small batches; all arithmetic on whole batches."""
+        data, y = _Rows(rows), np.array(labels, dtype=np.float32)
+        gw, gd = np.full_like(self.w, 1e-3), np.full_like(self.d, 1e-3)
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
-            rng.shuffle(order)
-            for i in order:
-                hashed, dense = rows[i]
-                err = 1 / (1 + np.exp(-np.clip(self.score(hashed, dense), -30, 30))) - labels[i]
-                if np.abs(err).max() < 0.01:
-                    continue
-                g = np.outer(err, dense)
+            order = rng.permutation(len(rows))
+            for s in range(0, len(order), batch):
+                at = order[s : s + batch]
+                err = 1 / (1 + np.exp(-np.clip(data.scores(self, at), -30, 30))) - y[at]
+                g = err.T @ data.dense[at]
                 gd += g * g
                 self.d -= rate * g / np.sqrt(gd)
-                if hashed:
-                    g = (err / np.sqrt(len(hashed)))[:, None]
-                    gw[:, hashed] += g * g
-                    self.w[:, hashed] -= rate * g / np.sqrt(gw[:, hashed])
+                own, which, value = data.entries(at)
+                if not len(own):
+                    continue
+                columns, where = np.unique(own, return_inverse=True)
+                part = err[which] * value[:, None]
+                g = np.stack([np.bincount(where, part[:, k], len(columns)) for k in range(len(LABELS))]).astype(np.float32)
+                gw[:, columns] += g * g
+                self.w[:, columns] -= rate * g / np.sqrt(gw[:, columns])
         return self
 
     def calibrate(self, rows, labels):
         """For each label the threshold of the best F1 on held-out pairs, in the middle of its plateau."""
-        scores = np.array([self.score(*r) for r in rows])
+        scores = self.scores(rows)
         y = np.array(labels)
         for k in range(len(LABELS)):
-            grid = np.linspace(-3, 6, 91)
+            grid = np.linspace(0, 6, 61)
             f1 = []
             for t in grid:
                 p = scores[:, k] > t
@@ -381,7 +426,7 @@ def synthetic_pairs(clean, refusals, languages: Languages, rng: random.Random):
                 out.append((q, short, "truncated"))
             for m in re.finditer(r"\d+(?: [^\W\d_]+){1,2}", body):
                 out.append((q, m.group(), None))
-            names = re.findall(r"(?:[A-Z][a-z]{3,} ){1,2}[A-Z][a-z]{3,}", body)
+            names = re.findall(r"[A-Z][a-z]{3,}(?: (?:& )?[A-Z][a-z]{3,}){1,2}", body)
             if names:
                 out.append((q, rng.choice(names), None))
                 numbers = re.findall(r"\d+ [^\W\d_]{3,}", body)
@@ -393,7 +438,7 @@ def synthetic_pairs(clean, refusals, languages: Languages, rng: random.Random):
                 out.append((q, body[:cut], "truncated"))
             for m in re.finditer(r"\d+[一-鿿]{1,2}", body):
                 out.append((q, m.group(), None))
-            names = re.findall(r"(?:[A-Z][a-z]{3,} ){1,2}[A-Z][a-z]{3,}", body)
+            names = re.findall(r"[A-Z][a-z]{3,}(?: (?:& )?[A-Z][a-z]{3,}){1,2}", body)
             numbers = re.findall(r"\d+[一-鿿]{2}", body)
             if names:
                 out.append((q, rng.choice(names), None))
@@ -406,7 +451,7 @@ def synthetic_pairs(clean, refusals, languages: Languages, rng: random.Random):
         lang = question_language(q) or "en"
         out.append((q, rng.choice(refusals.get(lang) or refusals["en"]) + rng.choice(["", "", " [C1]"]), "refusal"))
         if rng.random() < 0.5:
-            out.append((q, rng.choice(["", " ", "...", "N/A", "null", "-", "[C1]", "\n"]), "empty"))
+            out.append((q, rng.choice(_EMPTIES), "empty"))
         others = [x for x in by_lang if x not in asked_languages(q) and x != "?"]
         if others:
             foreign = rng.choice(by_lang[rng.choice(others)])
@@ -417,13 +462,13 @@ def synthetic_pairs(clean, refusals, languages: Languages, rng: random.Random):
     return out
 
 
-def train(rows: DataFrame, sample_rows: int = 3000, seed: int = 7) -> tuple[LinearModel, Languages]:
-    """The classifier, fitted on at most sample_rows rows; the word statistics are those of all rows."""
-    counted = word_counts(rows)
+def train(rows: DataFrame, sample_rows: int = 3000, seed: int = 7, vocabulary_rows: int = 200_000) -> tuple[LinearModel, Languages]:
+    """The classifier, fitted on at most sample_rows rows; the word statistics are those of all rows, of which the
+    vocabulary_rows of the most widespread words tell languages apart."""
+    counted = durable(word_counts(rows))
     # a word of one language that fewer than six questions hold is never used, so only the others are sent
     used = counted.join(counted.groupBy("word").agg(F.sum("n").alias("all_n")).filter("all_n >= 6"), "word")
-    # a closed vocabulary per language: the most widespread words
-    top = used.orderBy(F.desc("all_n"), "word", "lang").limit(200_000).collect()
+    top = used.orderBy(F.desc("all_n"), "word", "lang").limit(vocabulary_rows).collect()
     totals: dict[str, int] = {}
     for r in counted.groupBy("lang").agg(F.max("n").alias("n")).collect():
         totals[r["lang"]] = r["n"]
@@ -440,7 +485,7 @@ def train(rows: DataFrame, sample_rows: int = 3000, seed: int = 7) -> tuple[Line
     seen: dict[str, list] = {}
     for q, a, ok in sample:
         for part in refusal_parts(a):
-            if not re.search(r"\d", part) and not overlap(q, part):
+            if not re.search(r"\d", part) and not overlap(q, part) and not is_empty(part):
                 at = seen.setdefault(part, [set(), 0, 0])
                 at[0].add(q)
                 at[1] += ok is False
@@ -482,37 +527,30 @@ _RESULT = T.StructType(
 
 
 def judge(question, answer, answerable, model: LinearModel, languages: Languages) -> tuple[str | None, float]:
-    """The defect of one pair, or None, and the score of the decision."""
-    hashed, dense = features(question, answer, languages)
-    scores = model.score(hashed, dense) - model.threshold
-    by = dict(zip(LABELS, scores.tolist()))
-    if dense[1]:
-        return "empty", by["empty"]
-    if dense[2]:
-        return "copies_question", by["copies_question"]
+    """The defect of one pair, or None, and the score of the decision: the first label whose score passes its threshold."""
+    scores = model.score(*features(question, answer, languages)) - model.threshold
     parts = refusal_parts(answer)
-    refused = bool(parts) and by["refusal"] > 0
-    if refused and len(parts) > 1:
-        # nothing but a refusal: every sentence must be one by itself
-        refused = all((model.score(*features(question, p, languages)) - model.threshold)[2] > 0 for p in parts)
-    elif not refused and len(parts) > 1:
-        refused = all((model.score(*features(question, p, languages)) - model.threshold)[2] > 0 for p in parts)
-    if refused and answerable is not False:
-        return "refusal", by["refusal"]
-    if by["wrong_language"] > 0 and languages.foreign(question, answer) > 1.0:
-        return "wrong_language", by["wrong_language"]
-    if by["truncated"] > 0 and (dense[3] or dense[4]):
-        return "truncated", by["truncated"]
+    if len(parts) > 1:
+        # nothing but a refusal: the least of its sentences counts
+        least = np.inf
+        for p in parts:
+            least = min(least, (model.score(*features(question, p, languages)) - model.threshold)[2])
+            if least <= 0:
+                break
+        scores[2] = least
+    for label, value in zip(LABELS, scores.tolist()):
+        if value > 0 and not (label == "refusal" and answerable is False):
+            return label, value
     return None, float(scores.max())
 
 
-def find_defects(rows: DataFrame, sample_rows: int = 3000) -> DataFrame:
+def find_defects(rows: DataFrame, sample_rows: int = 3000, vocabulary_rows: int = 200_000) -> DataFrame:
     """q_id, run_index, defect, score: one row per defective pair."""
     rows = rows.select(
         F.col("q_id").cast("string"), F.col("run_index").cast("long"), F.col("question").cast("string"),
         F.col("answer").cast("string"), F.col("answerable").cast("boolean"),
     )
-    model, languages = train(rows, sample_rows)
+    model, languages = train(rows, sample_rows, vocabulary_rows=vocabulary_rows)
     weights = (model.w.astype(np.float16), model.d, model.threshold)
     words = (languages.langs, languages.weights)
     ready: list = []
