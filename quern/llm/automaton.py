@@ -1,9 +1,12 @@
 """Sentence automaton: a pushdown scan over punctuation events of one text.
 
 The scan visits only characters that can matter (terminators, quotation marks,
-brackets, dashes, blank lines, Thai spaces).  A stack holds the open quotations and
-brackets; terminators inside them never end a sentence.  Abbreviations are looked up
-in suffix tries, read from the dot backwards.
+brackets, dashes, line breaks, Thai spaces).  A stack holds the open quotations and
+brackets; terminators inside them never end a sentence.  A second stack holds the open list
+levels (indentation, kind of mark, last number): a line that goes on with an open level, or opens one inside it or after a colon,
+begins a new sentence; any other line break doesn't.  Abbreviations are looked up
+in suffix tries, read from the dot backwards.  A quotation that isn't closed holds to the end of a text
+that is itself cut off, however long; in a text that ends with a mark it is taken for a stray mark.
 
 Offsets count Unicode code points from 0, ends are exclusive.  Sentences carry no outer
 white space and together cover every other character of the text.
@@ -38,8 +41,12 @@ MONTHS = frozenset(
 REPORTING = re.compile(
     r"\b(?:said|asked|cried|answered|replied|wrote|shouted|whispered|called|added|muttered|told|exclaimed|remarked"
     r"|sagte|fragte|rief|antwortete|schrieb|dit|demanda|cria|répondit|écrivit|ajouta|dijo|preguntó|gritó|respondió|escribió"
-    r"|спросил\w*|сказал\w*|крикнул\w*|ответил\w*|писал\w*)\b"
+    r"|disse|chiese|rispose|gridò|scrisse|disse|perguntou|respondeu|спросил\w*|сказал\w*|крикнул\w*|ответил\w*|писал\w*)\b"
 )
+# whatever the verb: a name or pronoun, one word in the past tense, and the end of the clause or an adverb
+_REPORTS = re.compile(r"(?:(?:(?:Mr|Mrs|Ms|Dr)\.?\s+)?[^\W\d_]+(?:\s[A-Z]\w+)?)\s+(?:[^\W\d_]{3,}(?:ed|te|ten|ó|ò|ait|ait-il)|\w+ла|\w+ил|\w+ал)(?:\s\w+ly)?\s*(?:[.,:;!?…]|$)")
+_ARTICLES = frozenset("the a an this that these those his her their my our its der die das ein eine le la les un une el los las una il lo gli i".split())
+_ITEM = re.compile(r"([ \t]*)(?:(\d{1,3})[.)]|([a-z])\)|([-*•‣]))[ \t]+(?=\S)")
 
 
 def build_trie(words) -> dict:
@@ -188,6 +195,33 @@ def cut_points(text: str) -> list[int]:
     skip = 0
     para_end = -1
 
+    levels: list[tuple[int, str, int]] = []  # of lists: indentation, kind of mark, number of the last item
+    cut_off: bool | None = None
+
+    def item(at: int) -> bool:
+        """Does the line at this place go on with an open list level or open one inside it?  Keeps the stack of levels."""
+        m = _ITEM.match(text, at)
+        if not m:
+            return False
+        indent = len(m.group(1))
+        kind, number = ("9", int(m.group(2))) if m.group(2) else ("a", ord(m.group(3)) - 96) if m.group(3) else (m.group(4), 0)
+        if kind == "9":
+            word = _WORD.match(text, m.end())
+            if word and word.group().lower() in MONTHS:
+                return False
+        while levels and levels[-1][0] > indent:
+            levels.pop()
+        if levels and levels[-1][:2] == (indent, kind) and number == levels[-1][2] + (kind.isalnum()):
+            levels[-1] = (indent, kind, number)
+            return True
+        if number > 1:
+            return False
+        inside = bool(levels) and levels[-1][0] < indent
+        if levels and levels[-1][0] == indent:
+            levels.pop()
+        levels.append((indent, kind, number))
+        return inside or text[:at].rstrip()[-1:] in (":", "：") if at else False
+
     def paragraph_end(i: int) -> int:
         nonlocal para_end
         if para_end < i:
@@ -195,6 +229,7 @@ def cut_points(text: str) -> list[int]:
             para_end = m.start() if m else size
         return para_end
 
+    item(0)
     for m in (_EVENT_THAI if _THAI.search(text) else _EVENT).finditer(text):
         i = m.start()
         if i < skip:
@@ -206,6 +241,10 @@ def cut_points(text: str) -> list[int]:
                 stack.clear()
                 start = skip = blank.end()
                 cuts.append(i)
+                item(blank.end())
+            elif item(i + 1) and not stack:
+                cuts.append(i)
+                start = i + 1
             continue
         if ch == " ":
             if not stack:
@@ -286,12 +325,14 @@ def cut_points(text: str) -> list[int]:
                 elif k == end and nxt.isalpha():
                     ends = True
                 else:
-                    stop = min(size, k + 70)
-                    t = _CLAUSE_END.search(text, k, stop)
-                    clause = text[k : stop]
-                    if t and not _SHORT_WORD.search(text[k : t.start()]):
-                        clause = text[k : t.start()]
-                    ends = not REPORTING.search(clause)
+                    # the clause after it: up to its mark, passing over the dot of a short word
+                    stop = _CLAUSE_END.search(text, k)
+                    while stop and stop.group() == "." and _SHORT_WORD.search(text, k, stop.start()):
+                        stop = _CLAUSE_END.search(text, stop.end())
+                    stop = stop.start() if stop else size
+                    report = _REPORTS.match(text, k)
+                    first = _WORD.match(text, k)
+                    ends = not REPORTING.search(text, k, stop) and not (report and first and first.group().lower() not in _ARTICLES)
             else:
                 p = opened - 1
                 while p > start and text[p].isspace():
@@ -311,8 +352,12 @@ def cut_points(text: str) -> list[int]:
             closers = _CLOSER[ch]
             stop = paragraph_end(i)
             closed = any(text.find(c, i + 1, stop) >= 0 for c in closers)
-            if not closed and not (stop == size and size - i < 200 and ch not in "‘\"(["):
-                continue
+            if not closed:
+                if cut_off is None:
+                    tail = text.rstrip()
+                    cut_off = bool(tail) and tail[-1] not in _TERMINATORS and tail[-1] not in _CLOSING
+                if not (cut_off and stop == size and ch not in "‘\"(["):
+                    continue
             stack.append((closers, i, not text[start:i].strip(" \t\n\r¿¡")))
     return cuts
 

@@ -77,3 +77,28 @@ def test_rows_with_nulls_repeats_and_clashing_columns(spark):
     got = split_sentences(df, "id", "text", with_text=True).collect()
     assert sorted((r.rec_id or 0, r.ordinal, r.sentence) for r in got) == [(0, 0, "X"), (3, 0, "A b."), (3, 0, "A b."), (3, 1, "C d."), (3, 1, "C d.")]
     assert split_sentences(df.limit(0), "id", "text").count() == 0
+
+
+def _texts(text):
+    return [text[a:b] for a, b in sentence_spans(text)]
+
+
+def test_list_levels_nest():
+    assert _texts("Buy:\n1. Fruit\n   a) apples\n   b) pears\n2. Bread and\nbutter\n3. Milk") == ["Buy:", "1. Fruit", "a) apples", "b) pears", "2. Bread and\nbutter", "3. Milk"]
+    assert _texts("- one item\n- two items\nthat go on\n- three") == ["- one item", "- two items\nthat go on", "- three"]
+    # a number at the start of a wrapped line is no item
+    assert _texts("He came on the\n12. März and left.") == ["He came on the\n12. März and left."]
+    assert _texts("It stood\n- as they say - alone.") == ["It stood\n- as they say - alone."]
+
+
+def test_open_quotations_do_not_depend_on_length():
+    words, more = "He said “go now. She left. He came.", " More text stands here." * 30
+    assert _texts(words)[:3] == _texts(words + more)[:3] == ["He said “go now.", "She left.", "He came."]
+    assert len(_texts("He said “go now. " + "She left. " * 40 + "He")) == 1
+
+
+def test_reporting_clauses_by_position():
+    for verb in ("asked", "inquired", "demanded loudly"):
+        assert _texts(f"“Where is it?” Ann {verb}. He left.") == [f"“Where is it?” Ann {verb}.", "He left."]
+    assert _texts("«Dov'è?» Anna mormorò. Poi uscì.") == ["«Dov'è?» Anna mormorò.", "Poi uscì."]
+    assert _texts("“Where is it?” The door was locked. He left.") == ["“Where is it?”", "The door was locked.", "He left."]
