@@ -126,6 +126,25 @@ def exact_similarity(pairs: DataFrame, bodies: DataFrame, q: int) -> DataFrame:
     return map_batches(joined.select("a", "b", "body_a", "body_b"), schema, verify)
 
 
+def _sharing(keyed: DataFrame, block: int = 1000, most: int = 1_000_000) -> DataFrame:
+    """a < b: ids that share a key (keyed: id, key).
+
+    Keys are counted by a partial aggregate whose least and greatest id are the pair of a key that two ids have; only
+    ids of keys with more are moved again.  A hot key's ids are cut into blocks that meet two by two, so no task holds a whole group.
+    """
+    counted = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1"))
+    two = counted.filter("n = 2 and a < b").select("a", "b")
+    more = counted.filter("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # at most 16 MB of keys are broadcast; more are joined by shuffle
+    own = keyed.join(F.broadcast(more) if more.count() <= most else more, "key")
+    own = own.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id")
+    left = own.select("key", "i", "j", F.col("part").alias("pa"), F.col("id").alias("a"))
+    right = own.select("key", "i", "j", F.col("part").alias("pb"), F.col("id").alias("b"))
+    many = left.join(right, ["key", "i", "j"]).filter("a < b and (i = j or pa <> pb)").select("a", "b")
+    return two.unionByName(many).distinct()
+
+
 def _grams(reps: DataFrame, q: int) -> DataFrame:
     """id, gram: the distinct runs of each text."""
     run = F.transform(F.sequence(F.lit(1), F.length("body") - (q - 1)), lambda i: F.xxhash64(F.substring(F.col("body"), i, F.lit(q))))
@@ -165,11 +184,7 @@ def similar_texts(
     lists = upto.groupBy("gram").agg(F.count("*").alias("df")).agg((F.sum(F.col("df") * F.col("df")) / F.sum("df")).alias("mean")).first()
     boundary = int(min(high, max(low, templates / ((1 - least) * max(1.0, lists["mean"] or 1.0)))))
     keyed = signed.filter(F.col("n") > boundary * least).select("id", F.explode("keys").alias("key"))
-    # keys that only one text has are dropped before the join
-    shared = keyed.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter("k > 1").drop("k")
-    live = durable(shared)
-    a, b = live.select("key", F.col("id").alias("a")), live.select("key", F.col("id").alias("b"))
-    met = a.join(b, "key").filter("a < b").select("a", "b").distinct()
+    met = _sharing(keyed)
     sketches = signed.select("id", "sketch")
     thin = met.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(
         sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b"

@@ -10,7 +10,7 @@ from quern.functions.edit import levenshtein_table
 from quern.llm.hnsw import FlatHNSW
 from quern.llm.leakage import banded_edits, find_leaks, gram_hashes, plain_words
 from quern.llm.nameforms import read_name
-from quern.llm.nearduplicates import bin_minima, similar_groups, similar_pairs, similar_texts
+from quern.llm.nearduplicates import _sharing, bin_minima, similar_groups, similar_pairs, similar_texts
 from quern.llm.neighbours import nearest_neighbours, neighbour_pairs, usable_vectors
 from quern.llm.variants import link_variants, metric_join, variant_pairs
 
@@ -128,6 +128,17 @@ def test_copies_are_found_by_others(spark):
     assert all(by[i] == [0, 1, 2, 3, 4] for i in range(20, 30))
 
 
+def test_keys_shared_by_many_meet_in_blocks(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 6)) for i in range(60)] + [(i, 99) for i in range(40)] + [(70, 5), (70, 5), (71, 123), (72, 124), (73, 124)]
+    df = spark.createDataFrame(rows, "id long, key long")
+    by = {}
+    for i, k in set(rows):
+        by.setdefault(k, set()).add(i)
+    want = {(a, b) for ids in by.values() for a in ids for b in ids if a < b}
+    assert {(r.a, r.b) for r in _sharing(df, block=7).collect()} == want == {(r.a, r.b) for r in _sharing(df, most=0).collect()}
+
+
 def test_metric_join_is_exact(spark):
     rng = random.Random(3)
     base = ["".join(rng.choices("abcde", k=rng.randint(4, 9))) for _ in range(60)]
