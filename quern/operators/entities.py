@@ -33,6 +33,43 @@ def merge(facts: DataFrame, merges: DataFrame) -> DataFrame:
     )
 
 
+def merge_aliases(aliases: DataFrame, merges: DataFrame) -> DataFrame:
+    """Aliases moved to the entities that stay, repeated ones once."""
+    a = aliases.join(merges.select(F.col("drop_id").alias("entity_id"), "keep_id"), "entity_id", "left")
+    return a.select(F.coalesce("keep_id", "entity_id").alias("entity_id"), "alias").distinct()
+
+
+def without_merged(rows: DataFrame, key: str, merges: DataFrame) -> DataFrame:
+    """Rows (vectors, entities) of the entities that stay."""
+    return rows.join(merges.select(F.col("drop_id").alias(key)).distinct(), key, "left_anti")
+
+
+def touched(facts: DataFrame, merges: DataFrame) -> DataFrame:
+    """keep_id, n_facts: how many facts have a merged entity as subject or object afterwards."""
+    ends = facts.select("id", F.explode(F.array("subject_id", "object_id")).alias("keep_id")).filter("keep_id is not null").distinct()
+    return ends.join(merges.select("keep_id").distinct(), "keep_id", "left_semi").groupBy("keep_id").agg(F.count("*").alias("n_facts"))
+
+
+def pending(aliases: DataFrame) -> DataFrame:
+    """mention, entity_ids: mentions that may mean more than one entity, the candidates in the order of their ids."""
+    known = aliases.filter("alias is not null").select(F.col("alias").alias("mention"), "entity_id").distinct()
+    return known.groupBy("mention").agg(F.sort_array(F.collect_set("entity_id")).alias("entity_ids")).filter(F.size("entity_ids") > 1)
+
+
+def pending_details(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """mention, candidates: id, name and kind of each candidate in order; candidates that no longer exist are passed over."""
+    rows = links.select("mention", F.posexplode("entity_ids").alias("n", "id")).join(entities.select("id", "canonical_name", "kind").distinct(), "id")
+    shown = F.concat_ws(":", F.col("id").cast("string"), F.coalesce("canonical_name", F.lit("")), F.coalesce("kind", F.lit("")))
+    g = rows.groupBy("mention").agg(F.sort_array(F.collect_list(F.struct("n", shown.alias("s")))).alias("l"))
+    return g.select("mention", F.array_join(F.transform("l", lambda x: x["s"]), "; ").alias("candidates"))
+
+
+def dismiss(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links none of whose candidates is among ids (one column)."""
+    hit = links.select("mention", F.explode("entity_ids").alias("id")).join(ids.toDF("id").distinct(), "id", "left_semi").select("mention").distinct()
+    return links.join(hit, "mention", "left_anti")
+
+
 def resolve_mentions(mentions: DataFrame, max_rounds: int = 50) -> DataFrame:
     """mention, entity (the mention that created it), pending: the outcome of resolving mentions one after the other.
 

@@ -1,51 +1,273 @@
-"""BM25 full-text ranking over postings held as DataFrames."""
+"""BM25 full-text ranking: a forward index scored in blocks of questions, and a stored inverted index with upkeep.
+
+A batch of questions never meets the postings in a shuffle: the asked terms and their weights are a
+block of bounded size, every task scores its documents against the whole block by array arithmetic
+and keeps the k best of each question, so k rows per question and task are all that is moved.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quern.functions.arrow import map_batches
 from quern.functions.text import terms
+from quern.runtime import durable, stored
 
 K1, B = 1.2, 0.75
 #: An inverse document frequency that isn't positive is replaced by this.
 LEAST_IDF = 1e-6
+#: Questions of one block, and numbers in one score table.
+QUERY_BLOCK, CELLS = 4096, 4_000_000
+#: Parts of a stored inverted index, by the hash of the term.
+BUCKETS = 64
+
+
+def tokenised(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t: the terms of every document in order."""
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
 
 
 def postings(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, term, tf, dl of every document."""
-    tokens = documents.select(F.col(id_col).alias("doc_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    return (
-        tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        .groupBy("doc_id", "term", "dl")
-        .agg(F.count("*").alias("tf"))
-    )
+    """doc_id, term, tf, dl of every document; all terms of a document are counted where it is read."""
+    rows = tokenised(documents, id_col, text_col).select("doc_id", F.size("t").alias("dl"), F.array_sort("t").alias("t"))
+    once = rows.select("doc_id", "dl", "t", F.explode(F.array_distinct("t")).alias("term"))
+    tf = F.size("t") - F.size(F.array_remove("t", F.col("term")))
+    return once.select("doc_id", "term", tf.cast("long").alias("tf"), "dl")
+
+
+_ASKED = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("dl", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))]
+)
+_HITS = T.StructType([T.StructField("q_id", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def _asked(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """doc_id, dl, and the asked terms of each document with their counts (tokens: doc_id, t)."""
+    words = pa.array(vocabulary, type=pa.string())
+
+    def count(batch: pa.RecordBatch) -> dict:
+        t = batch.column(1)
+        offsets = t.offsets.to_numpy()
+        size = np.diff(offsets)
+        code = pc.fill_null(pc.index_in(t.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        known = code >= 0
+        pair, n = np.unique(doc[known] * max(1, len(words)) + code[known], return_counts=True)
+        ends = np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(words))).astype(np.int32)
+        ids, tfs = (pair % max(1, len(words))).astype(np.int32), n.astype(np.int32)
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        return {"doc_id": batch.column(0), "dl": size.astype(np.int32), "ids": lists(ids), "tfs": lists(tfs)}
+
+    return map_batches(tokens, _ASKED, count)
+
+
+class _Best:
+    """The k best (score in millionths, then least id) of each question so far."""
+
+    def __init__(self, questions: int, k: int):
+        self.score = np.full((questions, k), -1, dtype=np.int64)
+        self.doc = np.zeros((questions, k), dtype=np.int64)
+
+    def add(self, score: np.ndarray, doc: np.ndarray) -> None:
+        """score: questions x documents, -1 for no hit; doc: ids in ascending order."""
+        k = self.score.shape[1]
+        if score.shape[1] > k:
+            # one number orders by score and then by place, which is that of the ids
+            key = score * (1 << 22) + np.arange(score.shape[1], 0, -1)[None, :]
+            top = np.argpartition(-key, k - 1, axis=1)[:, :k]
+            score, doc = np.take_along_axis(score, top, axis=1), doc[top]
+        else:
+            doc = np.broadcast_to(doc, score.shape)
+        score, doc = np.concatenate([self.score, score], axis=1), np.concatenate([self.doc, doc], axis=1)
+        order = np.lexsort((doc, -score), axis=1)[:, :k]
+        self.score, self.doc = np.take_along_axis(score, order, axis=1), np.take_along_axis(doc, order, axis=1)
+
+
+def _score(index: DataFrame, asked: list[tuple[str, int, float]], questions: list[str], idf: np.ndarray, avgdl: float, k: int) -> DataFrame:
+    """The k best documents of every question in each task (index: doc_id, dl, ids, tfs; asked: question, term, weight)."""
+    q = np.array([a for a, _, _ in asked], dtype=np.int64)
+    term = np.array([t for _, t, _ in asked], dtype=np.int64)
+    weight = np.array([w for _, _, w in asked], dtype=np.float64)
+    order = np.argsort(term, kind="stable")
+    q, weight = q[order], weight[order]
+    start = np.searchsorted(term[order], np.arange(len(idf) + 1))
+    step = max(k, CELLS // max(1, len(questions)))
+    names = pa.array(questions, type=pa.string())
+    schema = pa.schema([("q_id", pa.string()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(questions), k)
+        for batch in batches:
+            by_id = np.argsort(batch.column(0).to_numpy(), kind="stable")
+            offsets = batch.column(2).offsets.to_numpy().astype(np.int64)
+            ids_all, tfs_all = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(np.float64)
+            offsets -= offsets[0]
+            dl_all, doc_all = batch.column(1).to_numpy().astype(np.float64), batch.column(0).to_numpy()
+            for s in range(0, len(by_id), step):
+                rows = by_id[s : s + step]
+                size = offsets[rows + 1] - offsets[rows]
+                if not size.sum():
+                    continue
+                doc = np.repeat(np.arange(len(rows)), size)
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[rows], size)
+                ids, tf, dl = ids_all[at], tfs_all[at], dl_all[rows][doc]
+                part = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                table = np.zeros((len(questions), len(rows)))
+                by_term = np.argsort(ids, kind="stable")
+                cuts = np.flatnonzero(np.diff(ids[by_term])) + 1
+                for own in np.split(by_term, cuts):
+                    t = ids[own[0]]
+                    lo, hi = start[t], start[t + 1]
+                    table[np.ix_(q[lo:hi], doc[own])] += weight[lo:hi, None] * part[own][None, :]
+                best.add(np.where(table > 0, np.rint(table * 1e6).astype(np.int64), -1), doc_all[rows])
+        hit = best.score >= 0
+        which = np.nonzero(hit)[0]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array(best.doc[hit]), pa.array(best.score[hit] / 1e6)], schema=schema)
+
+    return index.mapInArrow(run, _HITS)
+
+
+def _weights(n: int, df: np.ndarray) -> np.ndarray:
+    raw = np.log((n - df + 0.5) / (df + 0.5))
+    return np.where(raw <= 0, LEAST_IDF, raw)
+
+
+def _top(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def question_blocks(query_terms: DataFrame, size: int = QUERY_BLOCK) -> Iterator[list]:
+    """Rows (q_id, term, weight) of the questions, in blocks of about `size` questions each."""
+    asked = durable(query_terms.select(F.col("q_id").cast("string").alias("q_id"), "term", F.col("weight").cast("double").alias("weight")))
+    blocks = -(-asked.select("q_id").distinct().count() // size)
+    for b in range(blocks):
+        yield asked.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b).collect()
 
 
 def bm25(query_terms: DataFrame, documents: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """q_id, doc_id, score, rank: the k best documents of every query (query_terms: q_id, term, weight).
 
-    Only postings of asked terms are shuffled: the terms are joined before any aggregate.
+    Documents are read once for each block of QUERY_BLOCK questions.  Equal scores (to six places) are
+    ordered by id; a document without any asked term is no hit.
     """
-    tokens = documents.select(F.col(id_col).alias("doc_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    sizes = tokens.select(F.size("t").cast("long").alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = query_terms.select("term").distinct()
-    posts = (
-        tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        .join(asked, "term")
-        .groupBy("doc_id", "term", "dl")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats)).select(  # stats is one row
-        "term", "avgdl",
-        F.when(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) <= 0, F.lit(LEAST_IDF))
-        .otherwise(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"),
-    )
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = (
-        query_terms.join(idf, "term").join(posts, "term").groupBy("q_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    )
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    tokens = tokenised(documents, id_col, text_col)
+    found = None
+    for rows in question_blocks(query_terms):
+        questions = sorted({r["q_id"] for r in rows})
+        vocabulary = sorted({r["term"] for r in rows})
+        number, place = {w: i for i, w in enumerate(vocabulary)}, {x: i for i, x in enumerate(questions)}
+        index = stored(_asked(tokens, vocabulary))
+        size = index.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("long")).alias("avgdl")).first()
+        df = np.zeros(len(vocabulary))
+        # one row per asked term
+        for r in index.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
+            df[r["t"]] = r["n"]
+        asked = [(place[r["q_id"]], number[r["term"]], r["weight"]) for r in rows]
+        part = _score(index, asked, questions, _weights(size["n"], df), size["avgdl"] or 1.0, k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = query_terms.sparkSession.createDataFrame([], _HITS)
+    return _top(found, k)
+
+
+class StoredIndex:
+    """An inverted index on disk: postings in parts by the hash of the term, one folder per version, and the documents' lengths.
+
+    A search reads only the parts of the asked terms.  Every change writes a new version and then
+    switches to it, so that a stop in between leaves the old one whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._state = os.path.join(path, "state.json")
+
+    def state(self) -> dict:
+        """version, documents, terms in all, and format of the index; zeros where there is none."""
+        if not os.path.exists(self._state):
+            return {"version": 0, "documents": 0, "length": 0, "parts": []}
+        with open(self._state, encoding="utf-8") as f:
+            return json.load(f)
+
+    def _switch(self, state: dict) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        with open(self._state + ".new", "w", encoding="utf-8") as f:
+            json.dump(state, f)
+        os.replace(self._state + ".new", self._state)
+
+    def _write(self, documents: DataFrame, id_col: str, text_col: str, name: str) -> tuple[int, int]:
+        posts = postings(documents, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        posts.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{name}/postings")
+        tokenised(documents, id_col, text_col).select("doc_id", F.size("t").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{self.path}/{name}/documents")
+        row = self.spark.read.parquet(f"{self.path}/{name}/documents").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("l")).first()
+        return row["n"], row["l"]
+
+    def rebuild(self, documents: DataFrame, id_col: str, text_col: str) -> dict:
+        """Index all documents anew."""
+        version = self.state()["version"] + 1
+        n, length = self._write(documents, id_col, text_col, f"v{version}")
+        self._switch({"version": version, "documents": n, "length": length, "parts": [f"v{version}"]})
+        return self.state()
+
+    def append(self, documents: DataFrame, id_col: str, text_col: str) -> dict:
+        """Index documents whose id the index doesn't hold yet."""
+        old = self.state()
+        if old["parts"]:
+            documents = documents.join(self._read(old, "documents").select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+        version = old["version"] + 1
+        n, length = self._write(documents, id_col, text_col, f"v{version}")
+        self._switch({"version": version, "documents": old["documents"] + n, "length": old["length"] + length, "parts": [*old["parts"], f"v{version}"]})
+        return self.state()
+
+    def delete(self, ids: DataFrame) -> dict:
+        """Drop documents (one column of ids) from the index."""
+        old, key = self.state(), ids.columns[0]
+        version = old["version"] + 1
+        gone = ids.select(F.col(key).alias("doc_id")).distinct()
+        for table, parts in (("postings", ["bucket"]), ("documents", [])):
+            self._read(old, table).join(gone, "doc_id", "left_anti").write.partitionBy(*parts).mode("overwrite").parquet(f"{self.path}/v{version}/{table}")
+        row = self.spark.read.parquet(f"{self.path}/v{version}/documents").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("l")).first()
+        self._switch({"version": version, "documents": row["n"], "length": row["l"], "parts": [f"v{version}"]})
+        return self.state()
+
+    def _read(self, state: dict, table: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{p}/{table}" for p in state["parts"]]) if len(state["parts"]) == 1 else self._union(state, table)
+
+    def _union(self, state: dict, table: str) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.path}/{p}/{table}") for p in state["parts"]]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def search(self, query_terms: DataFrame, k: int) -> DataFrame:
+        """q_id, doc_id, score, rank as bm25 gives them, from the stored postings."""
+        state, found = self.state(), None
+        for rows in question_blocks(query_terms) if state["documents"] else ():
+            questions = sorted({r["q_id"] for r in rows})
+            vocabulary = sorted({r["term"] for r in rows})
+            number, place = {w: i for i, w in enumerate(vocabulary)}, {x: i for i, x in enumerate(questions)}
+            names = self.spark.createDataFrame(list(number.items()), "term string, t int").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+            buckets = [r["bucket"] for r in names.select("bucket").distinct().collect()]
+            # the asked terms are a block of bounded size; only their parts are read
+            posts = self._read(state, "postings").filter(F.col("bucket").isin(buckets)).join(F.broadcast(names.drop("bucket")), "term")
+            index = stored(posts.groupBy("doc_id").agg(F.max("dl").cast("int").alias("dl"), F.sort_array(F.collect_list(F.struct("t", F.col("tf").cast("int").alias("tf")))).alias("l")).select(
+                "doc_id", "dl", F.transform("l", lambda x: x["t"]).alias("ids"), F.transform("l", lambda x: x["tf"]).alias("tfs")))
+            df = np.zeros(len(vocabulary))
+            for r in index.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
+                df[r["t"]] = r["n"]
+            asked = [(place[r["q_id"]], number[r["term"]], r["weight"]) for r in rows]
+            part = _score(index, asked, questions, _weights(state["documents"], df), state["length"] / state["documents"] or 1.0, k)
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            found = self.spark.createDataFrame([], _HITS)
+        return _top(found, k)

@@ -54,3 +54,17 @@ def make_chunks(sentences: Column, max_chars: int = 2048, overlap: int = 1) -> C
         )
 
     return F.aggregate(sentences, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(text(acc["cur"])))).otherwise(acc["done"]))
+
+
+def counters(chunks: DataFrame, facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row of what an ingest made: chunks (new, known), sentences, facts, entities, aliases, and mentions linked to entities that were there."""
+    c = chunks.agg(
+        F.count("*").alias("n_chunks"), F.countDistinct("sha256").alias("n_new"), (F.count("*") - F.countDistinct("sha256")).alias("n_known"),
+        F.sum(F.length("text")).cast("long").alias("chars"), F.coalesce(F.sum(F.size(plain_sentences(F.col("text")))), F.lit(0)).cast("long").alias("n_sentences"),
+    )
+    without = F.col("object_id").isNull() & F.col("object_text").isNull()
+    f = facts.agg(F.count("*").alias("n_facts"), F.count(F.when(F.col("source") == "coref", 1)).alias("n_coref"), F.count(F.when(without, 1)).alias("n_without_object"))
+    e = entities.agg(F.countDistinct("id").alias("n_entities"))
+    a = aliases.select("entity_id", "alias").distinct().agg(F.count("*").alias("n_aliases"))
+    # four frames of one row each
+    return c.join(F.broadcast(f)).join(F.broadcast(e)).join(F.broadcast(a)).withColumn("n_linked", F.col("n_aliases") - F.col("n_entities"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quern.functions.text import normalize_mention
 
 # Question words, and words that are never the verb of a question.
-WH_WORDS = "who what where when why how which whom whose".split()
+WH_WORDS = "what who where when which how whom whose".split()
 VERB_STOPS = "the a an did do does was were is are has have had been be of in on at by to for with from".split()
 # Phrases that mark a refusal.
 REFUSAL_PHRASES = [
     "not in my knowledge base", "no context available", "none available", "no relevant information", "context does not contain",
     "context does not include", "does not contain this information", "not mentioned in", "not provided in", "cannot find", "not found in",
+    "not stated in the source",
 ]
 
 
@@ -22,22 +23,23 @@ def _lits(words: list[str]) -> Column:
 
 
 def parse_question(questions: DataFrame) -> DataFrame:
-    """q_id, wh_type, verb: the first question word, and the first plain word after it that isn't a stop word."""
+    """q_id, wh_type, verb: the first question word, and the first word of letters after one (anywhere, if there is none) that is
+    neither a question word nor a stop word."""
     words = F.filter(F.split(F.lower("question"), r"[ \t\n\r]+"), lambda w: w != "")
+    asks = F.transform(words, lambda w: F.regexp_replace(w, r"^[?]+|[?]+$", ""))
     bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[?.,!;:]+|[?.,!;:]+$", ""))
-    df = questions.select("q_id", bare.alias("w"))
-    first = F.expr(f"nvl(array_position(transform(w, x -> x in ({', '.join(map(repr, WH_WORDS))})), true), 0)")
-    df = df.withColumn("at", first)
-    rest = F.expr("slice(w, cast(at as int) + 1, size(w))")
-    verbs = F.filter(rest, lambda x: x.rlike("^[a-z]+$") & ~F.array_contains(_lits(VERB_STOPS + WH_WORDS), x))
-    return df.select("q_id", F.when(F.col("at") > 0, F.get("w", F.col("at").cast("int") - 1)).alias("wh_type"), F.get(verbs, F.lit(0)).alias("verb"))
-
-
-def mention_scan(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """q_id, entity_id, position: entities whose alias a span of one to three words of the question equals.
-
-    Longer spans come first, then from left to right; an alias of several entities means the least id.
-    """
+    df = questions.select("q_id", asks.alias("a"), bare.alias("w"))
+    known = ", ".join(map(repr, WH_WORDS))
+    wh = F.get(F.filter("a", lambda w: w.isin(*WH_WORDS)), F.lit(0))
+    at = F.expr(f"nvl(array_position(transform(w, x -> x in ({known})), true), 0)")
+    df = df.select("q_id", wh.alias("wh_type"), "w", at.alias("at"))
+    rest = F.when(F.col("wh_type").isNull(), F.col("w")).otherwise(F.expr("slice(w, cast(at as int) + 1, size(w))"))
+    verbs = F.filter(rest, lambda x: x.rlike(r"^\p{L}+$") & ~F.array_contains(_lits(VERB_STOPS + WH_WORDS), x))
+    return df.select("q_id", "wh_type", F.get(verbs, F.lit(0)).alias("verb"))
+
+
+def _spans(questions: DataFrame) -> DataFrame:
+    """q_id, tier, start, span: all runs of three, two and one words of a question."""
     words = F.filter(F.split(F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}_\s]", " "), r"[ \t\n\r]+"), lambda w: w != "")
     base = questions.select("q_id", words.alias("w"))
     spans = None
@@ -47,13 +49,29 @@ def mention_scan(questions: DataFrame, aliases: DataFrame) -> DataFrame:
             F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (length - 1)), lambda i: F.concat_ws(" ", F.slice("w", i, length)))).alias("start", "span"),
         )
         spans = part if spans is None else spans.unionByName(part)
-    spans = spans.withColumn("alias", normalize_mention(F.col("span"))).filter("alias <> ''")
+    return spans
+
+
+def _first_hits(spans: DataFrame, aliases: DataFrame) -> DataFrame:
     one = aliases.groupBy("alias").agg(F.min("entity_id").alias("entity_id"))
-    hits = spans.join(one, "alias").groupBy("q_id", "entity_id").agg(F.min(F.struct("tier", "start")).alias("at"))
+    hits = spans.filter("alias <> ''").join(one, "alias").groupBy("q_id", "entity_id").agg(F.min(F.struct("tier", "start")).alias("at"))
     order = Window.partitionBy("q_id").orderBy("at", "entity_id")
     return hits.select("q_id", "entity_id", F.row_number().over(order).alias("position"))
 
 
+def mention_scan(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """q_id, entity_id, position: entities whose alias a span of one to three words of the question equals.
+
+    Longer spans come first, then from left to right; an alias of several entities means the least id.
+    """
+    return _first_hits(_spans(questions).withColumn("alias", normalize_mention(F.col("span"))), aliases)
+
+
+def plain_mentions(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """mention_scan with spans as they stand: titles count, as they do in the aliases of propositions."""
+    return _first_hits(_spans(questions).withColumnRenamed("span", "alias"), aliases)
+
+
 def rrf(lists: DataFrame) -> DataFrame:
     """q_id, key, score, rank: reciprocal rank fusion of ranked lists (q_id, list_no, key, rank, k).
 

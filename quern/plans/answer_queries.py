@@ -1,217 +1,21 @@
-"""Queries over questions, runs and answers, and the flagship retrieval."""
+"""Queries over runs and answers: citations, scores, judging, model output, prompts, skeletons."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import ACCENTED, FOLDED, PROPOSITION_STOPWORDS, QUERY_STOPWORDS
-from quern.functions.text import query_terms as terms_of
-from quern.functions.text import source_info
+from quern.functions.text import terms
+from quern.operators import enrichment as en
 from quern.operators import evaluation as ev
+from quern.operators import extraction as ex
 from quern.operators import facts as fx
 from quern.operators import propositions as props
 from quern.operators import retrieval as rt
-from quern.operators.fulltext import bm25
-from quern.plans.base_queries import DOCUMENT, NAMED, SYNONYM_SQL, synonyms
+from quern.plans.base_queries import KNOWN, MENTION
 from quern.plans.registry import query, sql_list
+from quern.plans.retrieval_queries import INFO, PACK, PHRASES, _chunk_hits, _facts, facts_sql, questions, ranking_sql, terms_sql
 from quern.runtime import read_table as read
 
-QUESTIONS = "questions AS (SELECT q_id, min(question) AS question FROM question_results WHERE question IS NOT NULL GROUP BY q_id)"
-TERMS = f"list_filter(regexp_split_to_array(translate(lower({{0}}), '{ACCENTED}', '{FOLDED}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda t: t <> '')"
-TERMS = TERMS.replace("{{L}}", "{L}").replace("{{N}}", "{N}")
-
-
-def terms_sql(column: str) -> str:
-    return TERMS.replace("{0}", column)
-
-
-def query_terms_sql(stop: list[str]) -> str:
-    return f"qt AS (SELECT q_id, term, count(*) AS weight FROM (SELECT q_id, unnest({terms_sql('question')}) AS term FROM questions) WHERE length(term) > 2 AND term NOT IN ({sql_list(stop)}) GROUP BY q_id, term)"
-
-
-def bm25_sql(docs: str, k: int, name: str = "hits", p: str = "") -> str:
-    """CTEs that end in (q_id, doc_id, score, rank) from docs (doc_id, text) and qt; p sets their names apart."""
-    idf = "ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
-    return f"""{p}tok AS (SELECT doc_id, {terms_sql("coalesce(text, '')")} AS t FROM ({docs})),
-{p}st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}tok),
-{p}post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM {p}tok) GROUP BY doc_id, dl, term),
-{p}df AS (SELECT term, count(*) AS df FROM {p}post GROUP BY term),
-{p}idf AS (SELECT term, CASE WHEN {idf} <= 0 THEN 1e-6::DOUBLE ELSE {idf} END AS idf FROM {p}df, {p}st),
-{p}sc AS (SELECT q.q_id, x.doc_id, round(sum(q.weight * i.idf * x.tf * 2.2::DOUBLE / (x.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * x.dl / s.avgdl))), 6) AS score
-  FROM qt q JOIN {p}idf i ON i.term = q.term JOIN {p}post x ON x.term = q.term, {p}st s GROUP BY q.q_id, x.doc_id),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM {p}sc) WHERE rank <= {k})"""
-
-
-def questions(spark, d):
-    return read(spark, d, "question_results").filter("question is not null").groupBy("q_id").agg(F.min("question").alias("question"))
-
-
-def question_terms(q, stop=None):
-    return q.select("q_id", F.explode(terms_of(F.col("question"), stop)).alias("term")).groupBy("q_id", "term").agg(F.count("*").alias("weight"))
-
-
-@query(f"WITH {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)} SELECT q_id, term, weight FROM qt")
-def query_terms(spark, d):
-    return question_terms(questions(spark, d))
-
-
-@query(f"WITH {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)}, {bm25_sql('SELECT id AS doc_id, text FROM chunks', 12)} SELECT q_id, doc_id, score, rank::INT AS rank FROM hits")
-def bm25_chunks(spark, d):
-    return bm25(question_terms(questions(spark, d)), read(spark, d, "chunks"), "id", "text", 12)
-
-
-FACT_DOCS = f"SELECT id AS doc_id, {DOCUMENT.replace('AS document', 'AS text')} FROM named"
-
-
-def _fact_docs(spark, d, minted=False):
-    return fx.fact_documents(fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")), minted)
-
-
-@query(f"WITH {NAMED}, {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)}, {bm25_sql(FACT_DOCS, 10)} SELECT q_id, doc_id, score, rank::INT AS rank FROM hits")
-def bm25_facts(spark, d):
-    return bm25(question_terms(questions(spark, d)), _fact_docs(spark, d), "id", "document", 10)
-
-
-MINTED = f"{FACT_DOCS} WHERE source IN ('llm', 'closure') AND predicate IN ({sql_list(fx.ANSWER_PREDICATES)})"
-
-
-@query(f"WITH {NAMED}, {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)}, {bm25_sql(MINTED, 10)} SELECT q_id, doc_id, score, rank::INT AS rank FROM hits")
-def bm25_facts_routed(spark, d):
-    return bm25(question_terms(questions(spark, d)), _fact_docs(spark, d, minted=True), "id", "document", 10)
-
-
-PROP_DOCS = f"SELECT id AS doc_id, sentence AS text FROM facts WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)})"
-
-
-@query(f"WITH {QUESTIONS}, {query_terms_sql(PROPOSITION_STOPWORDS)}, {bm25_sql(PROP_DOCS, 30)} SELECT q_id, doc_id, score, rank::INT AS rank FROM hits")
-def bm25_props(spark, d):
-    p = props.from_facts(read(spark, d, "facts"))
-    return bm25(question_terms(questions(spark, d), PROPOSITION_STOPWORDS), p, "prop_id", "statement", 30)
-
-
-WH = sql_list(rt.WH_WORDS)
-PARSE = f"""parsed AS (SELECT q_id, CASE WHEN pos > 0 THEN w[pos] END AS wh_type,
-  list_filter(w[(pos + 1):len(w)], lambda x: regexp_full_match(x, '[a-z]+') AND x NOT IN ({sql_list(rt.VERB_STOPS + rt.WH_WORDS)}))[1] AS verb
-  FROM (SELECT q_id, w, coalesce(list_position(list_transform(w, lambda x: x IN ({WH})), true), 0) AS pos FROM
-   (SELECT q_id, list_transform(list_filter(regexp_split_to_array(lower(question), '[ \\t\\n\\r]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[?.,!;:]+|[?.,!;:]+$', '', 'g')) AS w FROM questions)))"""
-
-
-@query(f"WITH {QUESTIONS}, {PARSE} SELECT q_id, wh_type, verb FROM parsed")
-def parse_question(spark, d):
-    return rt.parse_question(questions(spark, d))
-
-
-MENTIONS = """words AS (SELECT q_id, list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM questions),
-spans AS (SELECT q_id, 3 - n AS tier, s - 1 AS start, array_to_string(list_filter(w[s:s + n - 1], lambda x: x NOT IN ('mr', 'mrs', 'ms', 'dr', 'prof', 'sir', 'lady', 'lord', 'miss', 'saint', 'st')), ' ') AS alias
-  FROM words, range(1, 4) r(n), unnest(range(1, greatest(1, len(w) - n + 2))) u(s) WHERE s + n - 1 <= len(w)),
-one AS (SELECT alias, min(entity_id) AS entity_id FROM aliases GROUP BY alias),
-hit AS (SELECT q_id, entity_id, min(tier * 100000 + start) AS pos FROM spans JOIN one ON one.alias = spans.alias WHERE spans.alias <> '' GROUP BY q_id, entity_id),
-mentions AS (SELECT q_id, entity_id, row_number() OVER (PARTITION BY q_id ORDER BY pos, entity_id)::INT AS position FROM hit)"""
-
-
-@query(f"WITH {QUESTIONS}, {MENTIONS} SELECT q_id, entity_id, position FROM mentions")
-def mention_scan(spark, d):
-    return rt.mention_scan(questions(spark, d), read(spark, d, "aliases"))
-
-
-@query(
-    f"""WITH {SYNONYM_SQL}, wanted AS (SELECT DISTINCT q_id, id AS entity_id, verb FROM (SELECT 'q' || (id % 40) AS q_id, id, CASE id % 3 WHEN 0 THEN 'possess' WHEN 1 THEN 'work_as' ELSE 'resides_at' END AS verb FROM entities)),
-asked AS (SELECT q_id, entity_id, verb AS predicate, 1.0::DOUBLE AS score FROM wanted UNION ALL SELECT q_id, entity_id, synonym, 0.8::DOUBLE FROM wanted JOIN both_syn ON both_syn.predicate = verb)
-SELECT a.q_id, f.id, max(a.score) AS score FROM asked a JOIN facts f ON f.subject_id = a.entity_id AND f.predicate = a.predicate GROUP BY a.q_id, f.id"""
-)
-def fact_lookup(spark, d):
-    e = read(spark, d, "entities")
-    verb = F.when(F.col("id") % 3 == 0, "possess").when(F.col("id") % 3 == 1, "work_as").otherwise("resides_at")
-    wanted = e.select(F.concat(F.lit("q"), (F.col("id") % 40).cast("string")).alias("q_id"), F.col("id").alias("entity_id"), verb.alias("verb"))
-    return fx.lookup(wanted, read(spark, d, "facts"), fx.both_directions(synonyms(spark)))
-
-
-@query(f"WITH {NAMED}, {QUESTIONS}, {MENTIONS}, {query_terms_sql(QUERY_STOPWORDS)}, {bm25_sql(FACT_DOCS, 10)} SELECT DISTINCT h.q_id, h.doc_id AS id FROM hits h JOIN facts f ON f.id = h.doc_id WHERE EXISTS (SELECT 1 FROM mentions m WHERE m.q_id = h.q_id AND (m.entity_id = f.subject_id OR m.entity_id = f.object_id))")
-def relevance_gate(spark, d):
-    q = questions(spark, d)
-    hits = bm25(question_terms(q), _fact_docs(spark, d), "id", "document", 10).select("q_id", F.col("doc_id").alias("id"))
-    rows = hits.join(read(spark, d, "facts").select("id", "subject_id", "object_id"), "id")
-    return fx.relevance_gate(rows, rt.mention_scan(q, read(spark, d, "aliases")))
-
-
-@query(f"WITH {NAMED}, {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)}, {bm25_sql(FACT_DOCS, 3)}, n AS (SELECT h.q_id, x.subject_name AS name FROM hits h JOIN named x ON x.id = h.doc_id UNION SELECT h.q_id, x.object_name FROM hits h JOIN named x ON x.id = h.doc_id) SELECT q_id, string_agg(name, ' ' ORDER BY name) AS names FROM n WHERE name IS NOT NULL AND name <> lower(name) GROUP BY q_id")
-def expand_names(spark, d):
-    hits = bm25(question_terms(questions(spark, d)), _fact_docs(spark, d), "id", "document", 3)
-    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).select(F.col("id").alias("doc_id"), "subject_name", "object_name")
-    n = hits.join(named, "doc_id").select("q_id", F.explode(F.array("subject_name", "object_name")).alias("name")).filter("name is not null and name <> lower(name)")
-    return n.groupBy("q_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("name"))).alias("names"))
-
-
-FUSE = f"""fact_chunks AS (SELECT q_id, chunk_id, min(rank) AS r FROM fh JOIN facts f ON f.id = fh.doc_id GROUP BY q_id, chunk_id),
-ranked AS (SELECT q_id, 0 AS list_no, chunk_id AS key, row_number() OVER (PARTITION BY q_id ORDER BY r, chunk_id) AS rank, 30 AS k FROM fact_chunks
-  UNION ALL SELECT q_id, 1, doc_id, rank, 60 FROM ch),
-fused AS (SELECT q_id, key, round(sum(1.0::DOUBLE / (k + rank)), 8) AS score, min(list_no * 1000000 + rank) AS first FROM ranked GROUP BY q_id, key),
-rrf AS (SELECT q_id, key, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, first, key) AS rank FROM fused)"""
-
-
-HYBRID = f"{NAMED}, {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)}, {bm25_sql(FACT_DOCS, 20, 'fh', 'f_')}, {bm25_sql('SELECT id AS doc_id, text FROM chunks', 12, 'ch', 'c_')}, {FUSE}"
-
-
-def _ranked(spark, d):
-    q = question_terms(questions(spark, d))
-    ch = bm25(q, read(spark, d, "chunks"), "id", "text", 12)
-    fh = bm25(q, _fact_docs(spark, d), "id", "document", 20)
-    by = fh.join(read(spark, d, "facts").select(F.col("id").alias("doc_id"), "chunk_id"), "doc_id").groupBy("q_id", "chunk_id").agg(F.min("rank").alias("r"))
-    order = Window.partitionBy("q_id").orderBy("r", "chunk_id")
-    first = by.select("q_id", F.lit(0).alias("list_no"), F.col("chunk_id").alias("key"), F.row_number().over(order).alias("rank"), F.lit(30).alias("k"))
-    return first.unionByName(ch.select("q_id", F.lit(1).alias("list_no"), F.col("doc_id").alias("key"), "rank", F.lit(60).alias("k")))
-
-
-@query(f"WITH {HYBRID} SELECT q_id, key, score, rank::INT AS rank FROM rrf WHERE rank <= 12")
-def rrf_fuse(spark, d):
-    return rt.rrf(_ranked(spark, d)).filter("rank <= 12")
-
-
-PACK = """packed AS (SELECT q_id, key, score, rank, text, title, path, sum(length(text)) OVER (PARTITION BY q_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used
-  FROM rrf JOIN chunks c ON c.id = key LEFT JOIN sources s ON s.id = c.source_id WHERE rank <= 12)"""
-
-
-def _packed(spark, d):
-    chunks = read(spark, d, "chunks").select(F.col("id").alias("key"), "text", "source_id")
-    sources = read(spark, d, "sources").select(F.col("id").alias("source_id"), "title", "path")
-    rows = rt.rrf(_ranked(spark, d)).filter("rank <= 12").join(chunks, "key").join(sources, "source_id", "left")
-    return rt.pack(rows.withColumn("chars", F.length("text")), "chars", 6000, ["rank"])
-
-
-@query(f"WITH {HYBRID}, {PACK} SELECT q_id, key AS chunk_id, '[C' || rank || ']' AS tag, score, coalesce(nullif(title, ''), nullif(regexp_extract(path, '[^/]+$'), '')) AS source_info FROM packed WHERE used <= 6000")
-def hybrid_retrieve(spark, d):
-    return _packed(spark, d).select("q_id", F.col("key").alias("chunk_id"), F.concat(F.lit("[C"), F.col("rank").cast("string"), F.lit("]")).alias("tag"), "score", source_info(F.col("title"), F.col("path")).alias("source_info"))
-
-
-@query(f"WITH {HYBRID}, {PACK} SELECT q_id, count(*) AS n_chunks, string_agg('[C' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM packed WHERE used <= 6000 GROUP BY q_id")
-def context_pack(spark, d):
-    line = F.concat(F.lit("[C"), F.col("rank").cast("string"), F.lit("] "), F.col("text"))
-    g = _packed(spark, d).groupBy("q_id").agg(F.count("*").alias("n_chunks"), F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
-    return g.select("q_id", "n_chunks", F.concat_ws("\n\n", F.transform("l", lambda x: x["line"])).alias("context"))
-
-
-@query(f"WITH {HYBRID}, top AS (SELECT r.q_id, r.key, r.rank, coalesce(0.5::DOUBLE * (1 - (c.rank - 1) / 12::DOUBLE), 0) + coalesce(0.5::DOUBLE / x.r, 0) AS b FROM rrf r LEFT JOIN ch c ON c.q_id = r.q_id AND c.doc_id = r.key LEFT JOIN fact_chunks x ON x.q_id = r.q_id AND x.chunk_id = r.key WHERE r.rank <= 24) SELECT q_id, key, round(b, 6) AS blended, row_number() OVER (PARTITION BY q_id ORDER BY round(b, 6) DESC, rank)::INT AS rank FROM top")
-def blend_rerank(spark, d):
-    lists = _ranked(spark, d).cache()
-    pool = rt.rrf(lists).filter("rank <= 24").select("q_id", "key", F.col("rank").alias("pos"))
-    ft = lists.filter("list_no = 1").select("q_id", "key", (F.lit(0.5) * (1 - (F.col("rank") - 1) / F.lit(12.0))).alias("f"))
-    q = question_terms(questions(spark, d))
-    fh = bm25(q, _fact_docs(spark, d), "id", "document", 20).join(read(spark, d, "facts").select(F.col("id").alias("doc_id"), "chunk_id"), "doc_id")
-    fc = fh.groupBy("q_id", F.col("chunk_id").alias("key")).agg((F.lit(0.5) / F.min("rank")).alias("v"))
-    b = F.round(F.coalesce("f", F.lit(0.0)) + F.coalesce("v", F.lit(0.0)), 6)
-    out = pool.join(ft, ["q_id", "key"], "left").join(fc, ["q_id", "key"], "left").withColumn("blended", b)
-    order = Window.partitionBy("q_id").orderBy(F.desc("blended"), "pos")
-    return out.select("q_id", "key", "blended", F.row_number().over(order).alias("rank"))
-
-
-@query("SELECT id AS chunk_id FROM chunks WHERE contains(' ' || array_to_string(" + terms_sql("text") + ", ' ') || ' ', ' the locked lantern ')")
-def phrase_chunks(spark, d):
-    from quern.functions.text import terms
-
-    line = F.concat(F.lit(" "), F.concat_ws(" ", terms(F.col("text"))), F.lit(" "))
-    return read(spark, d, "chunks").filter(line.contains(" the locked lantern ")).select(F.col("id").alias("chunk_id"))
-
 
 @query("SELECT q_id, run_index, array_to_string(tags, ' ') AS tags FROM (SELECT DISTINCT q_id, run_index, answer, list_filter(t, lambda x, i: list_position(t, x) = i) AS tags FROM (SELECT q_id, run_index, answer, regexp_extract_all(answer, '\\[[FCP][0-9]+\\]') AS t FROM question_results WHERE answer IS NOT NULL))")
 def cited_tags(spark, d):
@@ -241,7 +45,9 @@ _AGG = ", ".join(
     f"""SELECT count(DISTINCT q_id) AS n_questions, round(coalesce(avg(mechanical.keyword_recall), 0), 6) AS mean_keyword_recall, round(coalesce(avg(mechanical.fact_hit_rate), 0), 6) AS mean_fact_hit_rate,
 round(coalesce(avg(mechanical.retrieval_hit_rate), 0), 6) AS mean_retrieval_hit_rate, round(coalesce(avg(CASE WHEN answerable THEN mechanical.citation_present::INT END), 0), 6) AS citation_present_rate,
 round(coalesce(avg(CASE WHEN answerable THEN mechanical.citation_valid::INT END), 0), 6) AS citation_valid_rate, sum(CASE WHEN mechanical.hallucination THEN 1 ELSE 0 END)::BIGINT AS hallucination_count,
-round(coalesce(avg(peak_rss_mb), 0), 6) AS mean_peak_rss_mb, round(avg(judge_score), 6) AS mean_judge_score, round(median(judge_score), 6) AS median_judge_score, {_AGG} FROM question_results WHERE run_index = 0"""
+round(coalesce(avg(coalesce(timings['gen_ms'], 0)), 0), 6) AS mean_gen_ms, round(coalesce(avg(coalesce(timings['fact_ms'], 0)), 0), 6) AS mean_fact_ms,
+round(coalesce(avg(peak_rss_mb), 0), 6) AS mean_peak_rss_mb, round(avg(judge_score), 6) AS mean_judge_score, round(median(judge_score), 6) AS median_judge_score, {_AGG} FROM question_results
+WHERE run_index = 0 OR NOT EXISTS (SELECT 1 FROM question_results WHERE run_index = 0)"""
 )
 def run_aggregate(spark, d):
     return ev.run_aggregate(read(spark, d, "question_results"))
@@ -263,33 +69,48 @@ def compare_runs(spark, d):
     return ev.compare_runs(run(0), run(1), names)
 
 
-@query("SELECT DISTINCT q_id || '#' || run_index AS batch_id, q_id AS id, least(100, greatest(0, coalesce(judge_score, 50) + 40))::INT AS score FROM question_results WHERE run_index IN (0, 1)")
+@query("SELECT DISTINCT q_id || '#' || run_index AS batch_id, q_id AS id, least(100, greatest(0, coalesce(judge_score, 50) + 40))::INT AS score, coalesce(judge_reason, '') AS reason FROM question_results")
 def parse_judge(spark, d):
-    return _judged(read(spark, d, "question_results").filter("run_index in (0, 1)"))
+    r = read(spark, d, "question_results").select("q_id", "run_index", "judge_score", "judge_reason").distinct()
+    item = F.to_json(F.array(F.struct(F.col("q_id").alias("id"), (F.coalesce("judge_score", F.lit(50)) + 40).alias("score"), F.coalesce("judge_reason", F.lit("")).alias("reason"))))
+    rows = r.select(F.concat("q_id", F.lit("#"), F.col("run_index").cast("string")).alias("batch_id"), F.concat(F.lit("```json\n"), item, F.lit("\n```")).alias("response"), F.array("q_id").alias("asked"))
+    return ev.parse_judge(rows).distinct()
 
 
 @query()
-def parse_judge_all(spark, d):
-    """parse_judge, whose SQL keeps to the first two runs, over every run."""
-    return _judged(read(spark, d, "question_results"))
+def judge_scores(spark, d):
+    """Every question's first run put to a judge that gives full marks to answers with a citation."""
+    def judge(prompt):
+        import json
 
+        return json.dumps([{"id": i["id"], "score": 100 if i.get("citations_used") else 0, "reason": "by its citations"} for i in json.loads(prompt[prompt.index("\n\n[{") + 2 :])])
 
-def _judged(results):
-    r = results.select("q_id", "run_index", "judge_score").distinct()
-    score = (F.coalesce("judge_score", F.lit(50)) + 40).cast("string")
-    resp = F.concat(F.lit('```json\n[{"id": "'), "q_id", F.lit('", "score": '), score, F.lit(', "reason": "r"}]\n```'))
-    rows = r.select(F.concat("q_id", F.lit("#"), F.col("run_index").cast("string")).alias("batch_id"), resp.alias("response"), F.array("q_id").alias("asked"))
-    return ev.parse_judge(rows)
+    return ev.run_judge(read(spark, d, "question_results"), judge)
 
 
 @query(
-    f"SELECT chunk_id, subject, lower(predicate) AS predicate, coalesce(object_text, '') AS object FROM (SELECT f.chunk_id, s.canonical_name AS subject, f.predicate, f.object_text FROM facts f JOIN entities s ON s.id = f.subject_id WHERE f.source = 'llm') WHERE lower(predicate) IN ({sql_list(fx.FACT_TAXONOMY)}) AND trim(subject) <> ''"
+    f"SELECT chunk_id, subject, lower(predicate) AS predicate, coalesce(object_text, '') AS object, trim(coalesce(sentence, '')) AS sentence, negated FROM (SELECT f.chunk_id, s.canonical_name AS subject, f.predicate, f.object_text, f.sentence, f.negated FROM facts f JOIN entities s ON s.id = f.subject_id) WHERE lower(predicate) IN ({sql_list(fx.FACT_TAXONOMY)}) AND trim(subject) <> ''"
 )
 def parse_model_facts(spark, d):
-    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).filter("source = 'llm'")
-    item = F.to_json(F.array(F.struct(F.col("subject_name").alias("subject"), F.upper("predicate").alias("predicate"), F.coalesce("object_text", F.lit("")).alias("object"))))
-    rows = named.select("chunk_id", F.concat(F.lit("```json\n"), item, F.lit("\n```")).alias("response"))
-    return ev.parse_model_facts(rows, fx.FACT_TAXONOMY).select("chunk_id", "subject", "predicate", "object")
+    """A model's facts read back: every fact of the table stands as one answer, its predicate in capitals, inside a code fence."""
+    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities"))
+    item = F.to_json(F.array(F.struct(F.col("subject_name").alias("subject"), F.upper("predicate").alias("predicate"), F.coalesce("object_text", F.lit("")).alias("object"), "sentence", "negated")))
+    rows = named.select("chunk_id", F.concat(F.lit("Here:\n```json\n"), item, F.lit("\n```")).alias("response"))
+    got = ev.parse_model_facts(rows, fx.FACT_TAXONOMY)
+    return got.select("chunk_id", "subject", "predicate", "object", F.coalesce("sentence", F.lit("")).alias("sentence"), "negated")
+
+
+@query(
+    f"SELECT chunk_id, lower(predicate) AS predicate, trim(subject_name) AS agent, CASE WHEN trim(coalesce(object_name, object_text, '')) = '' THEN '' ELSE trim(coalesce(object_name, object_text)) END AS themes, trim(sentence) AS statement FROM (SELECT f.*, s.canonical_name AS subject_name, o.canonical_name AS object_name FROM facts f JOIN entities s ON s.id = f.subject_id LEFT JOIN entities o ON o.id = f.object_id) "
+    f"WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) AND trim(subject_name) <> '' AND trim(coalesce(sentence, '')) <> ''"
+)
+def parse_model_props(spark, d):
+    """A model's propositions read back: every fact stands as one answer, its object as the list of themes."""
+    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities"))
+    theme = F.coalesce("object_name", "object_text")
+    item = F.to_json(F.array(F.struct(F.upper("predicate").alias("predicate"), F.col("subject_name").alias("agent"), F.filter(F.array(theme), lambda t: t.isNotNull()).alias("themes"), F.col("sentence").alias("statement"))))
+    got = en.parse_model_propositions(named.select("chunk_id", item.alias("response")))
+    return got.select("chunk_id", "predicate", "agent", F.array_join("themes", "; ").alias("themes"), "statement")
 
 
 @query(
@@ -305,14 +126,37 @@ def split_payload(spark, d):
     return out.select("batch_id", F.concat_ws(",", F.transform("bins", lambda b: b.cast("string"))).alias("bins"))
 
 
+VALID = "valid AS (SELECT q_id, list(tag) AS tags FROM (SELECT q_id, '[C' || rank || ']' AS tag FROM packed UNION ALL SELECT q_id, '[F' || rank || ']' FROM answer_facts) GROUP BY q_id)"
+PLACES = "places AS (SELECT q_id, max(CASE WHEN contains(lower(info), 'night') THEN 1 ELSE 0 END)::DOUBLE AS hit FROM packed WHERE info IS NOT NULL GROUP BY q_id)"
+EXPECTED = """expected AS (SELECT m.q_id, lower(e.canonical_name) AS subject FROM mentions m JOIN entities e ON e.id = m.entity_id WHERE m.position = 1 AND e.canonical_name IS NOT NULL),
+met AS (SELECT x.q_id, max(CASE WHEN contains(lower(n.subject_name), x.subject) AND lower(n.predicate) = 'work_as' THEN 1 ELSE 0 END)::DOUBLE AS hit FROM expected x LEFT JOIN answer_facts a ON a.q_id = x.q_id LEFT JOIN named n ON n.id = a.id GROUP BY x.q_id)"""
+
+
 @query(
-    "SELECT q_id, run_index, len(t) > 0 AS citation_present, len(list_filter(t, lambda x: NOT list_contains(v, x))) = 0 AS citation_valid FROM (SELECT DISTINCT q_id, run_index, list_distinct(regexp_extract_all(coalesce(answer, ''), '\\[[FCP][0-9]+\\]')) AS t, list_transform(coalesce(citations, []), lambda c: '[' || c || ']') AS v FROM question_results)"
+    f"WITH {facts_sql(4)}, {ranking_sql(12)}, {PACK}, {VALID}, {PLACES}, {EXPECTED}, r AS (SELECT DISTINCT q_id, run_index, answer, answerable, question FROM question_results), "
+    f"t AS (SELECT r.*, list_distance_tags, coalesce(v.tags, []) AS valid, k FROM (SELECT *, list_distinct(regexp_extract_all(coalesce(answer, ''), '\\[[FCP][0-9]+\\]')) AS list_distance_tags, list_filter({terms_sql('question')}, lambda w: length(w) > 6) AS k FROM r) r LEFT JOIN valid v ON v.q_id = r.q_id) "
+    "SELECT t.q_id, run_index, len(list_distance_tags) > 0 AS citation_present, len(list_filter(list_distance_tags, lambda x: NOT list_contains(valid, x))) = 0 AS citation_valid, "
+    "round(CASE WHEN coalesce(len(k), 0) = 0 THEN 1 ELSE len(list_filter(k, lambda w: contains(lower(coalesce(answer, '')), w)))::DOUBLE / len(k) END, 6) AS keyword_recall, "
+    "round(coalesce(met.hit, 1), 6) AS fact_hit_rate, round(coalesce(places.hit, 0), 6) AS retrieval_hit_rate, "
+    f"NOT coalesce(answerable, true) AND NOT ({' OR '.join(f"contains(lower(coalesce(answer, '')), '{p}')" for p in rt.REFUSAL_PHRASES)}) AS hallucination FROM t LEFT JOIN met ON met.q_id = t.q_id LEFT JOIN places ON places.q_id = t.q_id"
 )
 def score_mechanical(spark, d):
-    r = read(spark, d, "question_results").select("q_id", "run_index", "answer", "answerable", "citations").distinct()
-    tags = F.transform(F.coalesce("citations", F.array().cast("array<string>")), lambda c: F.concat(F.lit("["), c, F.lit("]")))
-    rows = r.select("q_id", "run_index", "answer", "answerable", F.array().cast("array<string>").alias("keywords"), tags.alias("valid_tags"))
-    return ev.score_answers(rows).select("q_id", "run_index", "citation_present", "citation_valid").distinct()
+    """Answers against what their retrieval held: the question's longer words as keywords, the first mention's trade as expected fact, the
+    night ferry as expected source."""
+    r = read(spark, d, "question_results").select("q_id", "run_index", "answer", "answerable", "question").distinct()
+    hits, chunks = _facts(spark, d), _chunk_hits(spark, d)
+    tags = chunks.select("q_id", "tag").unionByName(hits.select("q_id", "tag")).groupBy("q_id").agg(F.collect_set("tag").alias("valid_tags"))
+    places = chunks.filter("source_info is not null").groupBy("q_id").agg(F.collect_set("source_info").alias("chunk_sources"))
+    entities = read(spark, d, "entities").filter("canonical_name is not null").select(F.col("id").alias("entity_id"), "canonical_name")
+    first = rt.mention_scan(questions(spark, d), read(spark, d, "aliases")).filter("position = 1").join(entities, "entity_id")
+    expected = first.groupBy("q_id").agg(F.collect_list(F.struct(F.lower("canonical_name").alias("subject"), F.lit("work_as").alias("predicate"))).alias("expected_facts"))
+    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).select("id", "subject_name", "predicate")
+    held = hits.join(named, "id").groupBy("q_id").agg(F.collect_list(F.struct(F.col("subject_name").alias("subject"), "predicate")).alias("fact_hits"))
+    rows = r.withColumn("keywords", F.filter(terms(F.col("question")), lambda w: F.length(w) > 6)).withColumn("expected_sources", F.array(F.lit("night")))
+    for part in (tags, places, expected, held):
+        rows = rows.join(part, "q_id", "left")
+    empty = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("valid_tags", "chunk_sources", "expected_facts", "fact_hits")}
+    return ev.score_answers(rows.withColumns(empty)).distinct()
 
 
 @query(
@@ -328,47 +172,29 @@ def trim_history(spark, d):
     return rt.trim_history(r.withColumn("role", F.lit("user")), 3, 100).select("conv_id", "turn", "content")
 
 
-@query(
-    """SELECT f.id, CASE f.predicate WHEN 'be' THEN 'What was ' || e.canonical_name || '?' WHEN 'possess' THEN 'What did ' || e.canonical_name || ' possess?' WHEN 'find' THEN 'What did ' || e.canonical_name || ' find?'
-WHEN 'see' THEN 'What did ' || e.canonical_name || ' see?' ELSE 'What did ' || e.canonical_name || ' ' || f.predicate || '?' END AS question, f.object_text AS expected FROM facts f JOIN entities e ON e.id = f.subject_id WHERE f.confidence >= 0.8 AND f.object_text IS NOT NULL"""
-)
-def qna_skeleton(spark, d):
-    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).filter("confidence >= 0.8 and object_text is not null")
-    s, p = F.col("subject_name"), F.col("predicate")
-    text = F.when(p == "be", F.concat(F.lit("What was "), s, F.lit("?"))).otherwise(F.concat(F.lit("What did "), s, F.lit(" "), p, F.lit("?")))
-    return named.select("id", text.alias("question"), F.col("object_text").alias("expected"))
+_TEMPLATES = {"take": "What did X take?", "observe": "What did X observe?", "enter": "Where did X enter?", "be": "What was X?", "possess": "What did X possess?", "say": "What did X say?", "find": "What did X find?", "give": "What did X give?", "see": "What did X see?", "know": "What did X know?"}
+_CASES = " ".join(f"WHEN '{p}' THEN '{t.split('X')[0]}' || s.canonical_name || '{t.split('X')[1]}'" for p, t in _TEMPLATES.items())
 
 
 @query(
-    "SELECT f.id, 'Chunk: ' || coalesce(c.text, '') || chr(10) || 'Known: ' || k.names AS prompt FROM facts f JOIN chunks c ON c.id = f.chunk_id, (SELECT string_agg(canonical_name, ', ' ORDER BY id) AS names FROM (SELECT id, canonical_name FROM entities WHERE canonical_name <> lower(canonical_name) ORDER BY id LIMIT 25)) k WHERE f.source = 'llm'"
+    f"""WITH r AS (SELECT f.id, s.canonical_name AS subject, f.predicate, coalesce(f.object_text, '') AS object, {INFO} AS source, CASE f.predicate {_CASES} ELSE 'What did ' || s.canonical_name || ' ' || f.predicate || '?' END AS question,
+row_number() OVER (ORDER BY md5(f.id || '#7'), f.id) AS n FROM facts f JOIN entities s ON s.id = f.subject_id LEFT JOIN chunks c ON c.id = f.chunk_id LEFT JOIN sources o ON o.id = c.source_id
+WHERE (o.title ILIKE '%night%' OR o.path ILIKE '%night%') AND f.confidence >= 0.8)
+SELECT 'q' || lpad(n::VARCHAR, 3, '0') AS item, question, object AS keyword, lower(subject) AS subject, predicate, source FROM r WHERE n <= 20"""
 )
-def prompt_build(spark, d):
-    top = read(spark, d, "entities").filter("canonical_name <> lower(canonical_name)").orderBy("id").limit(25)
-    names = top.agg(F.concat_ws(", ", F.transform(F.sort_array(F.collect_list(F.struct("id", "canonical_name"))), lambda x: x["canonical_name"])).alias("names"))
-    f = read(spark, d, "facts").filter("source = 'llm'").select("id", "chunk_id")
-    c = read(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "text")
-    rows = f.join(c, "chunk_id").join(F.broadcast(names))  # names is one row of at most 25 names
-    return rows.select("id", F.concat(F.lit("Chunk: "), F.coalesce("text", F.lit("")), F.lit("\nKnown: "), "names").alias("prompt"))
+def qna_skeleton(spark, d):
+    """Twenty draft questions from the facts of the sources about the night ferry, in a seeded order."""
+    return ev.skeleton(*[read(spark, d, t) for t in ("facts", "entities", "chunks", "sources")], "night", 20, 7)
 
 
 @query(
-    f"""WITH {QUESTIONS}, {MENTIONS}, {query_terms_sql(PROPOSITION_STOPWORDS)}, {bm25_sql(PROP_DOCS, 30)},
-p AS (SELECT id, subject_id, object_id FROM facts WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)})),
-b AS (SELECT id, subject_id AS e FROM p UNION SELECT id, object_id FROM p WHERE object_id IS NOT NULL),
-en AS (SELECT DISTINCT m.q_id, b.id FROM mentions m JOIN b ON b.e = m.entity_id),
-cand AS (SELECT q_id, doc_id AS id FROM hits UNION SELECT q_id, id FROM en),
-s AS (SELECT c.q_id, c.id, round(coalesce(1 - (h.rank - 1) / 30::DOUBLE, 0) + CASE WHEN en.id IS NULL THEN 0 ELSE 0.1::DOUBLE END, 6) AS score FROM cand c LEFT JOIN hits h ON h.q_id = c.q_id AND h.doc_id = c.id LEFT JOIN en ON en.q_id = c.q_id AND en.id = c.id)
-SELECT q_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+    f"WITH {KNOWN}, k AS (SELECT string_agg(canonical_name, ', ' ORDER BY n DESC, id) AS names FROM known) SELECT c.id, CASE WHEN names IS NULL THEN '' ELSE 'Known entities in this corpus (prefer these canonical names):' || chr(10) || names || chr(10) || chr(10) END || 'Text:' || chr(10) || c.text AS prompt FROM chunks c, k WHERE c.text IS NOT NULL"
 )
-def retrieve_propositions(spark, d):
-    q = questions(spark, d)
-    p = props.from_facts(read(spark, d, "facts"))
-    hits = bm25(question_terms(q, PROPOSITION_STOPWORDS), p, "prop_id", "statement", 30).select("q_id", F.col("doc_id").alias("id"), (1 - (F.col("rank") - 1) / F.lit(30.0)).alias("base"))
-    m = rt.mention_scan(q, read(spark, d, "aliases"))
-    en = m.join(props.roles(p), "entity_id").select("q_id", F.col("prop_id").alias("id"), F.lit(0.1).alias("bonus")).distinct()
-    s = hits.join(en, ["q_id", "id"], "full").withColumn("score", F.round(F.coalesce("base", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)), 6))
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
-    return s.select("q_id", "id", "score", F.row_number().over(order).alias("rank")).filter("rank <= 5")
+def prompt_build(spark, d):
+    """The extraction prompt of every chunk."""
+    names = en.known_names(read(spark, d, "entities"), read(spark, d, "facts"))
+    texts = read(spark, d, "chunks").filter("text is not null").select(F.col("id").alias("q_id"), "text")
+    return en.prompts("extraction", texts, names).select(F.col("q_id").cast("long").alias("id"), F.col("content").alias("prompt"))
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
@@ -378,116 +204,47 @@ def stream_ingest_dedup(spark, d):
     return ingest_available(spark, f"{d}/documents.parquet")
 
 
-@query(
-    f"""WITH {QUESTIONS}, {query_terms_sql(QUERY_STOPWORDS)} SELECT q_id, string_agg(term, ' ' ORDER BY term) AS query FROM (SELECT q_id, term FROM qt UNION SELECT q_id, 'ledger' FROM questions) GROUP BY q_id"""
-)
-def expand_query(spark, d):
-    q = questions(spark, d)
-    both = question_terms(q).select("q_id", "term").union(q.select("q_id", F.lit("ledger"))).distinct()
-    return both.groupBy("q_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("term"))).alias("query"))
-
-
-@query(
-    f"WITH {HYBRID}, {PACK} SELECT q_id, string_agg('  [C' || rank || '] → ' || coalesce(nullif(title, ''), nullif(regexp_extract(path, '[^/]+$'), ''), 'unknown source'), chr(10) ORDER BY rank) AS footer FROM packed WHERE used <= 6000 GROUP BY q_id"
-)
-def sources_footer(spark, d):
-    tag = F.concat(F.lit("  [C"), F.col("rank").cast("string"), F.lit("] → "), F.coalesce(source_info(F.col("title"), F.col("path")), F.lit("unknown source")))
-    g = _packed(spark, d).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", tag.alias("line")))).alias("l"))
-    return g.select("q_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("footer"))
-
-
-@query(
-    "SELECT q_id, string_agg('[P' || n || '] ' || sentence, chr(10) ORDER BY n) AS block FROM (SELECT q_id, sentence, n, sum(length(sentence)) OVER (PARTITION BY q_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS used FROM "
-    f"(SELECT 'q' || (subject_id % 50) AS q_id, sentence, row_number() OVER (PARTITION BY subject_id % 50 ORDER BY id) AS n FROM facts WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) AND sentence IS NOT NULL)) WHERE used <= 800 GROUP BY q_id"
-)
-def prop_prompt(spark, d):
-    p = props.from_facts(read(spark, d, "facts")).filter("statement is not null").withColumn("m", F.col("agent") % 50)
-    n = F.row_number().over(Window.partitionBy("m").orderBy("prop_id"))
-    rows = p.select(F.concat(F.lit("q"), F.col("m").cast("string")).alias("q_id"), "statement", n.alias("n"), F.length("statement").alias("chars"))
-    line = F.concat(F.lit("[P"), F.col("n").cast("string"), F.lit("] "), F.col("statement"))
-    g = rt.pack(rows, "chars", 800, ["n"]).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
-    return g.select("q_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("block"))
-
-
-@query(
-    f"SELECT chunk_id, subject, lower(predicate) AS predicate, statement FROM (SELECT f.chunk_id, s.canonical_name AS subject, f.predicate, f.sentence AS statement FROM facts f JOIN entities s ON s.id = f.subject_id WHERE f.source = 'coref') WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) AND trim(subject) <> ''"
-)
-def parse_model_props(spark, d):
-    return _parsed_props(spark, d, "source = 'coref'")
-
-
 @query()
-def parse_model_props_all(spark, d):
-    """parse_model_props, whose SQL keeps to source = 'coref', over the facts of every source."""
-    return _parsed_props(spark, d, "true")
-
-
-def _parsed_props(spark, d, which):
-    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).filter(which)
-    item = F.to_json(F.array(F.struct(F.col("subject_name").alias("subject"), "predicate", F.col("sentence").alias("object"))))
-    rows = named.select("chunk_id", item.alias("response"))
-    got = ev.parse_model_facts(rows, props.PROPOSITION_TAXONOMY)
-    return got.select("chunk_id", "subject", "predicate", F.col("object").alias("statement"))
-
-
-@query()
-def prop_mention_scan(spark, d):
-    q = questions(spark, d)
-    return rt.mention_scan(q, props.entity_aliases(read(spark, d, "entities")))
+def extract_propositions(spark, d):
+    """Introductions in direct speech: those of the chunks, and one spoken for every fact that introduces an entity."""
+    named = fx.with_names(read(spark, d, "facts").filter("predicate = 'introduce' and object_id is not null"), read(spark, d, "entities"))
+    spoken = F.concat(F.lit('It was late. "'), "subject_name", F.lit(', Mr. '), "object_name", F.lit('," said Porter, introducing us. They sat down.'))
+    rows = named.select((-F.col("id")).alias("id"), spoken.alias("text"))
+    return ex.extract_introductions(read(spark, d, "chunks").select("id", "text").unionByName(rows))
 
 
 @query()
-def extract_propositions(spark, d):
-    from quern.operators.extraction import extract_introductions
+def extract_facts(spark, d):
+    """Facts read from the sentences of all facts by the plain parser."""
+    sentences = read(spark, d, "facts").filter("sentence is not null").select(F.col("id").alias("sentence_id"), F.col("sentence").alias("text"))
+    parsed = ex.parse_sentences(sentences)
+    return ex.extract_facts(parsed).join(ex.qualifiers(parsed), "sentence_id", "left")
 
-    return extract_introductions(read(spark, d, "chunks"))
 
-
-@query()
+@query(
+    f"WITH {PHRASES}, l AS (SELECT h.entity_id, c.ordinal, c.id, c.text FROM ranked h JOIN chunks c ON c.id = h.chunk_id), g AS (SELECT entity_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ordinal NULLS FIRST, id) AS t, first(id ORDER BY ordinal NULLS FIRST, id) AS first_chunk FROM l GROUP BY entity_id) SELECT entity_id, first_chunk, substr(t, 1, 4000) AS context FROM g"
+)
 def entity_context(spark, d):
-    from quern.operators.extraction import entity_context as context
-
     names = read(spark, d, "entities").select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name"))
-    return context(names, read(spark, d, "chunks"))
+    return ex.entity_context(names, read(spark, d, "chunks").filter("text is not null"))
 
 
 @query(
-    "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0 AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < sqrt(2 * (1 - 0.2))"
+    "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < sqrt(2 * (1 - 0.2))"
 )
 def cosine_threshold_match(spark, d):
     from quern.operators import vectors as vec
 
-    e = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    a = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label")
-    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label")
-    return a.join(b, "label").filter("a < b").filter(vec.l2(F.col("va"), F.col("vb")) < vec.cosine_threshold(0.2)).select("a", "b")
-
-
-@query()
-def cosine_threshold_all(spark, d):
-    """The matches of cosine_threshold_match, whose SQL keeps to one label and a < b, against all rows."""
-    from quern.operators import vectors as vec
-
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q = e.filter("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("qvec"))
     return vec.within(q, e, vec.cosine_threshold(0.2)).select(F.col("q_id").alias("a"), F.col("id").alias("b"))
 
 
 @query(
-    "SELECT q_id, id, round(greatest(0, 0.6 - 0.05 * d), 6) AS score FROM (SELECT q.vec_id AS q_id, v.vec_id AS id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE r <= 10"
-)
-def vec_fact_surface(spark, d):
-    from quern.operators import vectors as vec
-
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = e.filter("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("qvec"))
-    return vec.knn(q, e, 10).select("q_id", "id", F.round(F.greatest(F.lit(0.0), 0.6 - 0.05 * F.col("distance")), 6).alias("score"))
-
-
-@query(
-    f"SELECT DISTINCT e.id AS prop_entity_id, lower(e.canonical_name) AS canonical FROM entities e WHERE e.id IN (SELECT subject_id FROM facts WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) UNION SELECT object_id FROM facts WHERE object_id IS NOT NULL AND lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}))"
+    f"""WITH names AS (SELECT e.canonical_name AS name FROM entities e JOIN facts f ON f.subject_id = e.id WHERE lower(f.predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}) UNION SELECT e.canonical_name FROM entities e JOIN facts f ON f.object_id = e.id WHERE lower(f.predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)}))
+SELECT name AS canonical, alias FROM (SELECT name, lower(name) AS alias FROM names UNION SELECT name, {MENTION.format('name')} FROM names) WHERE name IS NOT NULL AND alias <> ''"""
 )
 def prop_entities(spark, d):
-    ids = props.roles(props.from_facts(read(spark, d, "facts"))).select(F.col("entity_id").alias("id")).distinct()
-    e = read(spark, d, "entities").join(ids, "id", "left_semi")
-    return e.select(F.col("id").alias("prop_entity_id"), F.lower("canonical_name").alias("canonical")).distinct()
+    """The entities that propositions make where none has their name: one per canonical name, with its aliases."""
+    named = fx.with_names(read(spark, d, "facts"), read(spark, d, "entities")).filter(F.lower("predicate").isin(props.PROPOSITION_TAXONOMY))
+    return props.ensure_entities(named.select(F.explode(F.array("subject_name", "object_name")).alias("name"))).select("canonical", "alias")

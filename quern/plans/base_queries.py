@@ -197,14 +197,16 @@ def top_entities(spark, d):
     return ents.degree(read(spark, d, "entities"), read(spark, d, "facts")).orderBy(F.desc("n"), "id").limit(10).select("id", "canonical_name", "n")
 
 
-@query(
-    f"""WITH {DEGREE}, top AS (SELECT * FROM degree ORDER BY n DESC, id LIMIT 50)
-SELECT id, canonical_name FROM top WHERE length(canonical_name) BETWEEN 3 AND 40 AND canonical_name <> lower(canonical_name)
-AND NOT regexp_matches(canonical_name, '[\\n|(]') AND canonical_name NOT LIKE '\\_%' ESCAPE '\\' ORDER BY n DESC, id LIMIT 25"""
-)
+KNOWN = f"""{DEGREE}, top AS (SELECT * FROM degree ORDER BY n DESC, id LIMIT 50),
+known AS (SELECT id, canonical_name, n FROM top WHERE length(canonical_name) <= 40 AND canonical_name <> lower(canonical_name) AND position(chr(10) IN canonical_name) = 0 AND position(',' IN canonical_name) = 0 ORDER BY n DESC, id LIMIT 25)"""
+
+
+@query(f"WITH {KNOWN} SELECT id, canonical_name FROM known")
 def known_entities(spark, d):
+    name = F.col("canonical_name")
     top = ents.degree(read(spark, d, "entities"), read(spark, d, "facts")).orderBy(F.desc("n"), "id").limit(50)
-    return ents.proper_names(top).orderBy(F.desc("n"), "id").limit(25).select("id", "canonical_name")
+    clean = top.filter((F.length(name) <= 40) & (name != F.lower(name)) & ~name.contains("\n") & ~name.contains(","))
+    return clean.orderBy(F.desc("n"), "id").limit(25).select("id", "canonical_name")
 
 
 @query("SELECT DISTINCT predicate FROM facts")
@@ -212,12 +214,15 @@ def distinct_predicates(spark, d):
     return read(spark, d, "facts").select("predicate").distinct()
 
 
-@query("""SELECT count(*) AS n_chunks, count(DISTINCT sha256) AS n_new, count(*) - count(DISTINCT sha256) AS n_known, sum(length(text))::BIGINT AS chars FROM chunks""")
+@query(
+    f"""WITH c AS (SELECT count(*) AS n_chunks, count(DISTINCT sha256) AS n_new, count(*) - count(DISTINCT sha256) AS n_known, sum(length(text))::BIGINT AS chars FROM chunks),
+s AS (SELECT count(*) AS n_sentences FROM (SELECT unnest(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1\u0001', 'g'), '\u0001'), lambda s: s <> '')) FROM chunks)),
+f AS (SELECT count(*) AS n_facts, count(*) FILTER (source = 'coref') AS n_coref, count(*) FILTER (object_id IS NULL AND object_text IS NULL) AS n_without_object FROM facts),
+e AS (SELECT count(DISTINCT id) AS n_entities FROM entities), a AS (SELECT count(*) AS n_aliases FROM (SELECT DISTINCT entity_id, alias FROM aliases))
+SELECT *, n_aliases - n_entities AS n_linked FROM c, s, f, e, a"""
+)
 def ingest_stats(spark, d):
-    return read(spark, d, "chunks").agg(
-        F.count("*").alias("n_chunks"), F.countDistinct("sha256").alias("n_new"), (F.count("*") - F.countDistinct("sha256")).alias("n_known"),
-        F.sum(F.length("text")).cast("long").alias("chars"),
-    )
+    return ing.counters(read(spark, d, "chunks"), read(spark, d, "facts"), read(spark, d, "entities"), read(spark, d, "aliases"))
 
 
 @query(f"SELECT id, {MENTION.format('canonical_name')} AS mention FROM entities WHERE canonical_name IS NOT NULL")
@@ -233,25 +238,52 @@ def entity_aliases(spark, d):
     return props.entity_aliases(read(spark, d, "entities"))
 
 
+MERGES = "k AS (SELECT id, min(id) OVER (PARTITION BY lower(canonical_name)) AS keep_id FROM entities WHERE canonical_name IS NOT NULL), m AS (SELECT DISTINCT id AS drop_id, keep_id FROM k WHERE id <> keep_id)"
+
+
+def _merges(spark, d):
+    e = read(spark, d, "entities").filter("canonical_name is not null")
+    least = e.groupBy(F.lower("canonical_name").alias("k")).agg(F.min("id").alias("keep_id"))
+    return e.select(F.col("id").alias("drop_id"), F.lower("canonical_name").alias("k")).join(least, "k").filter("drop_id <> keep_id").select("drop_id", "keep_id").distinct()
+
+
 @query(
-    """WITH m AS (SELECT max(id) AS drop_id, min(id) AS keep_id FROM entities GROUP BY lower(canonical_name) HAVING count(*) > 1)
-SELECT f.id, coalesce(s.keep_id, f.subject_id) AS subject_id, coalesce(o.keep_id, f.object_id) AS object_id FROM facts f
+    f"""WITH {MERGES} SELECT f.id, coalesce(s.keep_id, f.subject_id) AS subject_id, coalesce(o.keep_id, f.object_id) AS object_id FROM facts f
 LEFT JOIN m s ON s.drop_id = f.subject_id LEFT JOIN m o ON o.drop_id = f.object_id"""
 )
 def merge_entities(spark, d):
-    e = read(spark, d, "entities")
-    m = e.groupBy(F.lower("canonical_name").alias("k")).agg(F.max("id").alias("drop_id"), F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
-    return ents.merge(read(spark, d, "facts"), m.select("drop_id", "keep_id")).select("id", "subject_id", "object_id")
+    return ents.merge(read(spark, d, "facts"), _merges(spark, d)).select("id", "subject_id", "object_id")
+
+
+@query(f"WITH {MERGES} SELECT DISTINCT coalesce(m.keep_id, a.entity_id) AS entity_id, a.alias FROM aliases a LEFT JOIN m ON m.drop_id = a.entity_id")
+def merge_aliases(spark, d):
+    return ents.merge_aliases(read(spark, d, "aliases"), _merges(spark, d))
 
 
 @query(
-    """WITH a AS (SELECT alias, count(DISTINCT entity_id) n FROM aliases GROUP BY alias HAVING count(DISTINCT entity_id) > 1)
-SELECT x.alias AS mention, string_agg(CAST(x.entity_id AS VARCHAR), ',' ORDER BY x.entity_id) AS candidates FROM (SELECT DISTINCT alias, entity_id FROM aliases) x JOIN a ON a.alias = x.alias GROUP BY x.alias"""
+    f"""WITH {MERGES}, r AS (SELECT f.id, coalesce(s.keep_id, f.subject_id) AS s, coalesce(o.keep_id, f.object_id) AS o FROM facts f LEFT JOIN m s ON s.drop_id = f.subject_id LEFT JOIN m o ON o.drop_id = f.object_id)
+SELECT keep_id, count(DISTINCT r.id) AS n_facts, (SELECT count(*) FROM vec_entities v WHERE v.entity_id NOT IN (SELECT drop_id FROM m)) AS vectors_left FROM (SELECT DISTINCT keep_id FROM m) k JOIN r ON r.s = keep_id OR r.o = keep_id GROUP BY keep_id"""
 )
+def merge_effects(spark, d):
+    m = _merges(spark, d)
+    left = ents.without_merged(read(spark, d, "vec_entities"), "entity_id", m).agg(F.count("*").alias("vectors_left"))
+    return ents.touched(ents.merge(read(spark, d, "facts"), m), m).join(F.broadcast(left))  # one row
+
+
+PENDING = """a AS (SELECT alias FROM aliases WHERE alias IS NOT NULL GROUP BY alias HAVING count(DISTINCT entity_id) > 1),
+p AS (SELECT DISTINCT x.alias AS mention, x.entity_id FROM aliases x JOIN a ON a.alias = x.alias)"""
+
+
+@query(f"WITH {PENDING} SELECT mention, string_agg(p.entity_id || ':' || coalesce(e.canonical_name, '') || ':' || coalesce(e.kind, ''), '; ' ORDER BY p.entity_id) AS candidates FROM p JOIN (SELECT DISTINCT id, canonical_name, kind FROM entities) e ON e.id = p.entity_id GROUP BY mention")
 def pending_links(spark, d):
-    a = read(spark, d, "aliases").select("alias", "entity_id").distinct()
-    g = a.groupBy(F.col("alias").alias("mention")).agg(F.sort_array(F.collect_set("entity_id")).alias("c")).filter(F.size("c") > 1)
-    return g.select("mention", F.concat_ws(",", F.transform("c", lambda x: x.cast("string"))).alias("candidates"))
+    return ents.pending_details(ents.pending(read(spark, d, "aliases")), read(spark, d, "entities"))
+
+
+@query(f"WITH {PENDING}, {MERGES} SELECT DISTINCT mention FROM p WHERE mention NOT IN (SELECT mention FROM p WHERE entity_id IN (SELECT drop_id FROM m UNION SELECT keep_id FROM m))")
+def pending_dismiss(spark, d):
+    """The ambiguous mentions that a merge leaves open."""
+    m = _merges(spark, d)
+    return ents.dismiss(ents.pending(read(spark, d, "aliases")), m.select("drop_id").union(m.select("keep_id"))).select("mention")
 
 
 @query(
@@ -275,9 +307,10 @@ def prop_agent(spark, d):
     f"""WITH p AS (SELECT id, subject_id, object_id, confidence FROM facts WHERE lower(predicate) IN ({sql_list(props.PROPOSITION_TAXONOMY)})),
 b AS (SELECT id AS prop_id, subject_id AS entity_id, 'agent' AS role FROM p UNION SELECT id, object_id, 'theme' FROM p WHERE object_id IS NOT NULL),
 pairs AS (SELECT DISTINCT subject_id, object_id FROM facts WHERE object_id IS NOT NULL AND subject_id <> object_id AND predicate = 'introduce'),
-w AS (SELECT subject_id || '-' || object_id AS group_id, subject_id AS entity_id, true AS first FROM pairs UNION ALL SELECT subject_id || '-' || object_id, object_id, false FROM pairs)
-SELECT w.group_id, b.prop_id, max(CASE WHEN w.first AND b.role = 'agent' THEN 1 ELSE 0 END)::INT AS is_agent FROM b JOIN w ON w.entity_id = b.entity_id
-GROUP BY w.group_id, b.prop_id HAVING count(DISTINCT b.entity_id) >= 2"""
+w AS (SELECT subject_id || '-' || object_id AS group_id, subject_id AS entity_id, true AS first FROM pairs UNION ALL SELECT subject_id || '-' || object_id, object_id, false FROM pairs),
+h AS (SELECT w.group_id, b.prop_id, max(CASE WHEN w.first AND b.role = 'agent' THEN 1 ELSE 0 END)::INT AS is_agent FROM b JOIN w ON w.entity_id = b.entity_id
+GROUP BY w.group_id, b.prop_id HAVING count(DISTINCT b.entity_id) >= 2)
+SELECT group_id, prop_id, is_agent, row_number() OVER (PARTITION BY group_id ORDER BY is_agent DESC, confidence DESC NULLS LAST, prop_id)::INT AS rank FROM h JOIN p ON p.id = h.prop_id"""
 )
 def props_all_entities(spark, d):
     f = read(spark, d, "facts")
@@ -287,7 +320,7 @@ def props_all_entities(spark, d):
         pairs.select(gid, F.col("object_id").alias("entity_id"), F.lit(False).alias("first"))
     )
     p = props.from_facts(f)
-    return props.holding_all(props.roles(p), p, wanted).select("group_id", "prop_id", F.col("is_agent").cast("int").alias("is_agent"))
+    return props.holding_all(props.roles(p), p, wanted).select("group_id", "prop_id", F.col("is_agent").cast("int").alias("is_agent"), "rank")
 
 
 @query(
@@ -347,7 +380,7 @@ def coref_last_subject(spark, d):
     return read(spark, d, "facts").select("id", "chunk_id", F.last(F.when(F.col("source") != "coref", F.col("subject_id")), ignorenulls=True).over(w).alias("subject_id"))
 
 
-SYNONYMS = [("located_at", "reside_at"), ("resides_at", "live"), ("possess", "own"), ("work_as", "profession"), ("call", "named_after"), ("means", "mean"), ("employ", "work_as")]
+SYNONYMS = [("located_at", "reside_at"), ("resides_at", "live"), ("possess", "own"), ("work_as", "profession"), ("call", "named_after"), ("means", "mean"), ("employ", "work_as"), ("kept", "work_as"), ("inspector", "found"), ("why", "cause_of"), ("passengers", "role"), ("far", "located_at"), ("happened", "possess")]
 SYNONYM_SQL = "syn(predicate, synonym) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS) + "), both_syn AS (SELECT predicate, synonym FROM syn UNION SELECT synonym, predicate FROM syn)"
 
 
@@ -398,14 +431,16 @@ def synonym_pairs(spark, d):
 
 
 @query(
-    """SELECT vec_id, round(n, 6) AS norm FROM (SELECT vec_id, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n FROM
- (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE + p[2]::DOUBLE) / 2) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1))"""
+    """SELECT vec_id, round(list_sum(list_transform(list_zip(m, e), lambda p: p[1] * p[2])) / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS along FROM (SELECT vec_id, e, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n FROM
+ (SELECT a.vec_id, a.embedding::DOUBLE[] AS e, list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE + p[2]::DOUBLE) / 2) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1))"""
 )
 def vector_blend(spark, d):
+    """The blend of each vector with the next one, measured along the first: every number of the blend counts."""
     e = read(spark, d, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    mean = F.zip_with(F.col("embedding").cast("array<double>"), F.col("other").cast("array<double>"), lambda x, y: (x + y) / 2)
-    return e.join(b, "vec_id").select("vec_id", F.round(vec.norm(mean), 6).alias("norm"))
+    both = e.join(b, "vec_id").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), vec.blend(F.col("embedding"), F.col("other")).alias("m"))
+    along = F.aggregate(F.zip_with("m", "e", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return both.select("vec_id", F.round(along, 6).alias("along"))
 
 
 @query(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import answer_queries, base_queries
+from quern.plans import answer_queries, base_queries, retrieval_queries, source_queries
 from quern.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "hybrid_retrieve"
-_MODULES = (base_queries, answer_queries)
+_MODULES = (base_queries, retrieval_queries, answer_queries, source_queries)
 
 
 def queries() -> dict:

@@ -45,6 +45,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def folder_path(path: str) -> str:
+    """A path of the local or a mounted file system without its scheme."""
+    return path.split(":", 1)[1].replace("///", "/", 1) if path.startswith("file:") else path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared checkpoint folder, from which a lost executor's part is read again."""
     checkpoint_dir(df.sparkSession)

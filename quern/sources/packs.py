@@ -59,6 +59,14 @@ def open_pack(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return found
 
 
+def size_on_disk(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and number of files below a path of any file system that Spark reads."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    summary = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where)
+    return summary.getLength(), summary.getFileCount()
+
+
 def read_registry(path: str) -> list[dict]:
     """The registered packs (name, path); none where the file doesn't exist."""
     file = Path(path)

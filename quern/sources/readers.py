@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,15 +41,43 @@ def _pdf(data: bytes) -> str:
 
 
 def _epub(data: bytes) -> str:
-    """The HTML items of the archive in the order of their names, stripped; no further package is needed."""
+    """The HTML items of the archive in the order of its spine (of their names, where it has none), stripped; no further package is needed."""
     import io
+    import posixpath
     import zipfile
+    from xml.etree import ElementTree
 
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = sorted(n for n in z.namelist() if n.lower().endswith((".html", ".xhtml", ".htm")))
+        held = set(z.namelist())
+        names = sorted(n for n in held if n.lower().endswith((".html", ".xhtml", ".htm")))
+        book = next((n for n in sorted(held) if n.lower().endswith(".opf")), None)
+        if book:
+            root = ElementTree.fromstring(z.read(book))
+            local = lambda e: e.tag.rsplit("}", 1)[-1]
+            items = {e.get("id"): posixpath.normpath(posixpath.join(posixpath.dirname(book), e.get("href", ""))) for e in root.iter() if local(e) == "item"}
+            spine = [items.get(e.get("idref")) for e in root.iter() if local(e) == "itemref"]
+            ordered = [n for n in spine if n in held]
+            names = ordered + [n for n in names if n not in ordered]
         return "\n\n".join(t for t in (strip_html(z.read(n).decode("utf-8", "replace")) for n in names) if t)
 
 
+def stripped(df: DataFrame, id_col: str, markup_col: str) -> DataFrame:
+    """id, text: the text of every page of markup."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(markup_col).cast("string")), schema, lambda b: {"id": b.column(0), "text": [strip_html(m) for m in b.column(1).to_pylist()]})
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Append one JSON object per row to an event log."""
+    events.write.mode("append").json(path)
+
+
+def parse_meta(pairs: Column) -> Column:
+    """A map of comma-separated name=value pairs; quotes around a value are dropped."""
+    bare = F.str_to_map(pairs, F.lit(","), F.lit("="))
+    return F.transform_values(bare, lambda k, v: F.regexp_replace(F.trim(v), "^[\"']|[\"']$", ""))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, text, error of every file below a path: txt and md (bad bytes become U+FFFD), html, pdf, epub.
 
