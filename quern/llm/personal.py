@@ -113,7 +113,7 @@ _PLACED = re.compile(rf"(?<![{_LETTERS}])(?:in|at|near|à|en|nach|aus|в|из|be
 _POSSESSIVE = re.compile(r"['’]s$")
 _INNER = re.compile(r"['’-]")
 _CAPITAL = re.compile(rf"(?<![{_LETTERS}])[{_UPPER}][{_LETTERS}]*(?:['’-][{_LETTERS}]+)*")
-_LOWER = re.compile(rf"(?<![{_LETTERS}])[a-zß-öø-žа-яё][{_LETTERS}]+(?:['’-][{_LETTERS}]+)*")
+_LOWER = re.compile(r"[a-zß-öø-žа-яё]{2,}")
 _LOWER_AFTER = re.compile(rf"\s+[a-zß-öø-žа-яё][{_LETTERS}]+")
 # Frequent surnames in Han script, and characters that are words of their own rather than part of a given name.
 HAN_SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
@@ -139,6 +139,10 @@ _ORDINARY = frozenset("dot will bill rich rob nat kit sandy sue pat jack harry d
 _LOWER_GIVEN = frozenset(w for w in _PET if w not in _ORDINARY and len(w) > 2)
 
 
+#: Words in lower case that are known not to take part in names, of the table in use.
+_COLD: set[str] = set()
+
+
 def _slot(word: str, table: np.ndarray) -> int:
     return zlib.crc32(word.encode()) & (len(table) - 1)
 
@@ -150,9 +154,12 @@ def name_tokens(text: str):
 def possible_name_tokens(text: str, table: np.ndarray):
     """The tokens of which names can be made.  A word in lower case takes part only as a given name, as a word with surname
     evidence, or straight after a given name: where no word of the text is one of the first two, the others needn't be read."""
-    for word in _LOWER.findall(text):
+    for word in set(_LOWER.findall(text)) - _COLD:
         if word in _LOWER_GIVEN or _facts(word, table)[4]:
             return name_tokens(text)
+        if len(_COLD) > 500_000:
+            _COLD.clear()
+        _COLD.add(word)
     toks = []
     for m in _CAPITAL.finditer(text):
         word = m.group()
@@ -239,6 +246,12 @@ def _french(text: str, at: int) -> bool:
 _FACTS: dict[str, tuple] = {}
 
 
+def forget_words() -> None:
+    """Empty what is remembered of words; needed when another table comes into use."""
+    _FACTS.clear()
+    _COLD.clear()
+
+
 def _facts(word: str, table: np.ndarray) -> tuple:
     """(caseless form, may be a given name, surname evidence, may take part in a name, counts in lower case, its byte)."""
     got = _FACTS.get(word)
@@ -475,6 +488,7 @@ class SpanClassifier:
     def __init__(self):
         self.votes = np.zeros((len(KINDS), LABELERS * 3 + 1), dtype=np.float32)
         self.hashed = np.zeros(_HASHED, dtype=np.float32)
+        self.plain = None
 
     def start_from(self, labelers: Labelers) -> SpanClassifier:
         """Begin at what the labelers' reliabilities alone would decide."""
@@ -490,6 +504,20 @@ class SpanClassifier:
     def score(self, kind: str, votes: tuple, feats: list[int]) -> float:
         return float(self.votes[KINDS.index(kind), self._at(votes)].sum() + 0.5 * self.hashed[feats].sum())
 
+    def freeze(self) -> SpanClassifier:
+        """Weights as plain numbers, for scoring span by span."""
+        self.plain = (dict(zip(KINDS, self.votes.tolist())), self.hashed.tolist())
+        return self
+
+    def quick_score(self, kind: str, votes: tuple, feats: list[int]) -> float:
+        if self.plain is None:
+            return self.score(kind, votes, feats)
+        own, hashed = self.plain[0][kind], self.plain[1]
+        total = own[-1]
+        for j, v in enumerate(votes):
+            total += own[j * 3 + v + 1]
+        return total + 0.5 * sum([hashed[f] for f in feats])
+
     def fit(self, rows, targets, epochs: int = 4, rate: float = 0.1):
         order = np.arange(len(rows))
         rng = np.random.default_rng(3)
@@ -506,7 +534,7 @@ class SpanClassifier:
 def choose(text: str, table: np.ndarray, model: SpanClassifier) -> list[tuple[str, int, int]]:
     """The spans that the classifier accepts; earlier kinds and longer spans win where they overlap."""
     kept: list[tuple[str, int, int]] = []
-    rows = [(KINDS.index(k), -(e - s), s, e, k) for k, s, e, votes, feats in candidates(text, table) if model.score(k, votes, feats) > 0]
+    rows = [(KINDS.index(k), -(e - s), s, e, k) for k, s, e, votes, feats in candidates(text, table) if model.quick_score(k, votes, feats) > 0]
     for _, _, s, e, k in sorted(rows):
         if all(e <= a or s >= b for _, a, b in kept):
             kept.append((k, s, e))
@@ -516,7 +544,7 @@ def choose(text: str, table: np.ndarray, model: SpanClassifier) -> list[tuple[st
 def train(documents: DataFrame, sample_rows: int = 3000) -> tuple[np.ndarray, SpanClassifier]:
     table = word_knowledge(documents)
     sample = hash_sample(documents.filter("text is not null").select("doc_id", "text"), ["doc_id"], sample_rows).collect()
-    _FACTS.clear()
+    forget_words()
     rows = [(k, votes, feats) for r in sample for k, _, _, votes, feats in candidates(r["text"], table)]
     labelers = Labelers().fit([(k, v) for k, v, _ in rows])
     targets = [labelers.posterior(k, v) for k, v, _ in rows]
@@ -551,10 +579,10 @@ def find_personal(documents: DataFrame, sample_rows: int = 3000, with_text: bool
 
     def scan(batch):
         if not ready:
-            _FACTS.clear()
+            forget_words()
             full, m = np.zeros(sent[4], dtype=np.uint8), SpanClassifier()
             full[sent[0]], m.votes, m.hashed = sent[1], sent[2], sent[3]
-            ready.extend((full, m))
+            ready.extend((full, m.freeze()))
         out = {"doc_id": [], "spans": [], "redacted": []}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text is None:
