@@ -48,7 +48,8 @@ _SPELLED = re.compile(
     r"(?<![\w@.+-])[A-Za-z0-9][A-Za-z0-9+_-]*(?: (?:dot|punto|point|punkt) [A-Za-z0-9][A-Za-z0-9+_-]*)* (?:at|arroba|\[at\]|\(at\)) [A-Za-z0-9-]+(?: (?:dot|punto|point|punkt) [A-Za-z0-9-]+)+(?![\w-])(?! at )",
     re.IGNORECASE,
 )
-_SPELLED_GATE = re.compile(r" (?:dot|punto|point|punkt) ", re.IGNORECASE)
+# spelled addresses hold one of these
+_DOTS = (" dot ", " punto ", " point ", " punkt ")
 _AT_GATE = re.compile(r"@|[\[({<]at[\])}>]", re.IGNORECASE)
 _EXT = r"(?:,?\s?(?:ext\.?|extension|x|durchwahl|poste|int\.?)\s?\d{1,5})?"
 _PHONE = re.compile(
@@ -80,14 +81,15 @@ _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
 _TOWN = rf"{_CAP}(?![.@+_]\w)"
 _STREET = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Quay|Close|Terrace|Gardens|Row|Way|Court|Place|Square|Crescent|Drive|Hill|Walk|Mews|Wharf|Parade)"
 _FLAT = r"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room)\s\w{1,4},\s)?"
-# each form of address with a cheap test of whether it can occur at all
+# each form of address with words of which it holds one, and a cheap test of whether it can occur at all
+_STREET_WORDS = ("Street", "St", "Road", "Rd", "Lane", "Ln", "Avenue", "Ave", "Quay", "Close", "Terrace", "Gardens", "Row", "Way", "Court", "Place", "Square", "Crescent", "Drive", "Hill", "Walk", "Mews", "Wharf", "Parade")
 _ADDRESSES = [
-    (re.compile(r"\d[a-z]?\s[A-ZÀ-ÖØ-Þ]"), re.compile(rf"(?<![\w-]){_FLAT}\d{{1,4}}[a-z]?\s{_CAP}(?:\s{_CAP})?\s{_STREET}(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?(?!\w)")),
-    (re.compile(r"Box\s\d"), re.compile(rf"(?<![\w-])P\.?\s?O\.?\sBox\s\d+(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?(?!\w)")),
-    (re.compile(r"\s(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée)\s"), re.compile(rf"(?<![\w-])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée)\s(?:de\sla\s|de\s|du\s|des\s|d['’])?{_CAP}(?:,\s\d{{5}}\s{_TOWN})?(?!\w)")),
-    (re.compile(r"(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|damm)\s\d"), re.compile(rf"(?<![\w-])[A-ZÀ-ÖØ-Þ]\w+(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|damm)\s\d{{1,4}}[a-z]?(?:,?\s(?:D-)?\d{{5}}\s{_TOWN})?(?!\w)")),
-    (re.compile(r"C/|Calle|Avda|Avenida|Plaza|Paseo"), re.compile(rf"(?<![\w-])(?:C/|Calle|Avda\.|Avenida|Plaza|Paseo)\s{_CAP},?\s(?:n\.º\s|núm\.\s)?\d{{1,4}}(?:,\s\d{{5}}\s{_TOWN})?(?!\w)")),
-    (re.compile(r"号"), re.compile(r"(?:(?<![一-鿿])[一-鿿]{1,5}|[一-鿿]{1,3})(?:街|路|巷|大道|胡同)\d+号(?:\d+[栋幢座])?(?:\d+单元)?(?:\d+[室楼号])?")),
+    (_STREET_WORDS, re.compile(r"\d[a-z]?\s[A-ZÀ-ÖØ-Þ]"), re.compile(rf"(?<![\w-]){_FLAT}\d{{1,4}}[a-z]?\s{_CAP}(?:\s{_CAP})?\s{_STREET}(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?(?!\w)")),
+    (("Box",), re.compile(r"Box\s\d"), re.compile(rf"(?<![\w-])P\.?\s?O\.?\sBox\s\d+(?:,\s{_TOWN}(?:,?\s\d{{5}})?)?(?!\w)")),
+    (("rue", "avenue", "quai", "boulevard", "place", "chemin", "impasse", "allée"), re.compile(r"\s(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée)\s"), re.compile(rf"(?<![\w-])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée)\s(?:de\sla\s|de\s|du\s|des\s|d['’])?{_CAP}(?:,\s\d{{5}}\s{_TOWN})?(?!\w)")),
+    (("str.", "straße", "strasse", "weg", "gasse", "platz", "allee", "ufer", "damm"), re.compile(r"(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|damm)\s\d"), re.compile(rf"(?<![\w-])[A-ZÀ-ÖØ-Þ]\w+(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|damm)\s\d{{1,4}}[a-z]?(?:,?\s(?:D-)?\d{{5}}\s{_TOWN})?(?!\w)")),
+    (("C/", "Calle", "Avda", "Avenida", "Plaza", "Paseo"), re.compile(r"C/|Calle|Avda|Avenida|Plaza|Paseo"), re.compile(rf"(?<![\w-])(?:C/|Calle|Avda\.|Avenida|Plaza|Paseo)\s{_CAP},?\s(?:n\.º\s|núm\.\s)?\d{{1,4}}(?:,\s\d{{5}}\s{_TOWN})?(?!\w)")),
+    (("号",), re.compile(r"号"), re.compile(r"(?:(?<![一-鿿])[一-鿿]{1,5}|[一-鿿]{1,3})(?:街|路|巷|大道|胡同)\d+号(?:\d+[栋幢座])?(?:\d+单元)?(?:\d+[室楼号])?")),
 ]
 _LABELS = {
     "email": re.compile(r"(?<![A-Za-z])(?:e-?mail|mail|contact|reach me at|write to|replies go to|courriel|correo)\W*$", re.IGNORECASE),
@@ -139,7 +141,7 @@ _ORDINARY = frozenset("dot will bill rich rob nat kit sandy sue pat jack harry d
 _LOWER_GIVEN = frozenset(w for w in _PET if w not in _ORDINARY and len(w) > 2)
 
 
-#: Words in lower case that are known not to take part in names, of the table in use.
+#: Runs without white space that are known to hold no word in lower case of which a name can be made, of the table in use.
 _COLD: set[str] = set()
 
 
@@ -154,12 +156,14 @@ def name_tokens(text: str):
 def possible_name_tokens(text: str, table: np.ndarray):
     """The tokens of which names can be made.  A word in lower case takes part only as a given name, as a word with surname
     evidence, or straight after a given name: where no word of the text is one of the first two, the others needn't be read."""
-    for word in set(_LOWER.findall(text)) - _COLD:
-        if word in _LOWER_GIVEN or _facts(word, table)[4]:
-            return name_tokens(text)
+    for part in set(text.split()) - _COLD:
+        for word in _LOWER.findall(part):
+            if word in _LOWER_GIVEN or _facts(word, table)[4]:
+                return name_tokens(text)
         if len(_COLD) > 500_000:
             _COLD.clear()
-        _COLD.add(word)
+        if len(part) < 40:
+            _COLD.add(part)
     toks = []
     for m in _CAPITAL.finditer(text):
         word = m.group()
@@ -298,11 +302,12 @@ def name_candidates(text: str, table: np.ndarray):
         return len(w) > 1 and w[0].isupper() and not w.isupper() and not facts[k][1] and (code & LOWER_SURNAME or not code & COMMON) and not code & (PLACE | INITIAL) and facts[k][0] not in _COMMON and facts[k][0] not in TITLES and facts[k][0] not in _FIRM_WORDS and _POSSESSIVE.search(w) is None
 
     while i < n:
-        if not facts[i][3]:
+        low, given, n_evidence, part, _, code = facts[i]
+        word, s, e = toks[i]
+        # nothing can begin at an ordinary word: no given name, no initial, no evidence, and of small letters elsewhere
+        if not part or code & (COMMON | INITIAL) and not given and not n_evidence and len(word) > 1:
             i += 1
             continue
-        word, s, e = toks[i]
-        low = facts[i][0]
         # given name, initials, surname
         if is_given(i):
             j = i + 1
@@ -373,15 +378,16 @@ def name_candidates(text: str, table: np.ndarray):
 def candidates(text: str, table: np.ndarray):
     """(kind, start, end, votes, hashed context) of every candidate span."""
     found = []
-    if _AT_GATE.search(text):
+    low = text.lower()
+    if "@" in text or "at" in low and _AT_GATE.search(text):
         for m in _EMAIL.finditer(text):
             found.append(("email", m.start(), m.end(), 1 if "@" in m.group() else 0, "plain"))
-    if _SPELLED_GATE.search(text):
+    if any(word in low for word in _DOTS):
         for m in _SPELLED.finditer(text):
             found.append(("email", m.start(), m.end(), 1, "spelled"))
     if _DIGIT.search(text):
-        for gate, pattern in _ADDRESSES:
-            if not gate.search(text):
+        for words, gate, pattern in _ADDRESSES:
+            if words and not any(w in text for w in words) or not gate.search(text):
                 continue
             for m in pattern.finditer(text):
                 s, e = m.start(), m.end()
