@@ -15,8 +15,14 @@ class Retrieval:
     rrf_k_fts: int = 60
     top_k_chunks: int = 12
     max_facts_in_context: int = 0
-    token_budget: int = 1500
+    token_budget: int = 1800
+    rerank_mode: str = "off"
     rerank_pool: int = 24
+    fact_sources: str = "all"
+    fact_fts_top_k: int = 10
+    fact_vec_mode: str = "off"
+    fact_vec_top_k: int = 10
+    fact_expand_names: int = 2
 
 
 @dataclasses.dataclass(frozen=True)
@@ -25,10 +31,35 @@ class Ingest:
     overlap_sentences: int = 1
 
 
+@dataclasses.dataclass(frozen=True)
+class Models:
+    temperature: float = 0.4
+    max_tokens: int = 512
+    vec_dim: int = 64
+    no_think: bool = False
+
+
+@dataclasses.dataclass(frozen=True)
+class Judging:
+    command: str = ""
+    max_chars: int = 12_000
+
+
 @dataclasses.dataclass(frozen=True)
 class Config:
     retrieval: Retrieval = Retrieval()
     ingest: Ingest = Ingest()
+    models: Models = Models()
+    judging: Judging = Judging()
+
+
+def as_toml(config: Config) -> str:
+    """The settings as a file that load reads."""
+    parts = []
+    for section, values in dataclasses.asdict(config).items():
+        shown = [f"{k} = {str(v).lower() if isinstance(v, bool) else repr(v) if not isinstance(v, str) else chr(34) + v + chr(34)}" for k, v in values.items()]
+        parts.append(f"[{section}]\n" + "\n".join(shown))
+    return "\n\n".join(parts) + "\n"
 
 
 PREFIX = "QUERN_"

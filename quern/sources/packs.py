@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = ("sources", "chunks", "entities", "aliases", "facts")
-TABLES = (*REQUIRED, "predicate_synonyms", "pending_links", "propositions", "proposition_entities", "vec_chunks", "vec_entities", "vec_facts")
+TABLES = (*REQUIRED, "predicate_synonyms", "pending_links", "propositions", "proposition_entities", "vec_chunks", "vec_entities", "vec_facts", "vec_propositions", "db_meta")
 
 
 def attach(corpora: list[tuple[str, DataFrame]]) -> DataFrame:
