@@ -40,7 +40,7 @@ def qna_load(spark, d):
     r = read(spark, d, "question_results").filter("question is not null").select(F.col("q_id").alias("id"), F.col("q_type").alias("type"), "question", "answerable").distinct()
     parts = r.groupBy(F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.to_json(F.collect_list(F.struct("id", "type", "question", "answerable"))).alias("value"))
     parts.select("value").repartition(64).write.text(folder)
-    return readers.read_qna(spark, folder).select("id", "type", "question", "answerable", F.size("expected_keywords").alias("n_keywords"))
+    return readers.read_qna(spark, folder).select("id", "type", "question", "answerable", F.size("expected_keywords").alias("n_keywords")).distinct()
 
 
 @query(
