@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.edit import levenshtein_table
+from quern.llm import variants
 from quern.llm.hnsw import FlatHNSW
 from quern.llm.leakage import banded_edits, find_leaks, gram_hashes, plain_words
 from quern.llm.nameforms import read_name
@@ -152,6 +153,35 @@ def test_metric_join_is_exact(spark):
     assert {(r.a, r.b) for r in metric_join(df, radius=2, short=0, cell_rows=10).collect()} == want
 
 
+def test_metric_join_by_residues_is_exact(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdé", k=rng.randint(1, 14))) for _ in range(120)]
+    names = sorted(set(base + [b[1:] + "x" for b in base] + [b[:3] + b[4:5] + b[3:4] + b[5:] for b in base if len(b) > 5] + ["李", "王", "李王"]) - {""})
+    df = spark.createDataFrame([(x, n) for n in names for x in ("x", "y")] + [("x", names[0]), ("x", None), (None, "b")], "block string, name string")
+    d = levenshtein_table(names, names)
+    for short, longest in ((6, 32), (0, 32), (6, 8)):
+        want = {(x, a, b) for x in "xy" for i, a in enumerate(names) for j, b in enumerate(names) if i < j and d[i, j] <= (1 if min(len(a), len(b)) < short else 2)}
+        rows = metric_join(df, radius=2, short=short, block_rows=0, longest=longest).collect()
+        assert len(rows) == len(want) and {(r.block, r.a, r.b) for r in rows} == want
+
+
+def test_a_large_block_is_not_copied_to_its_cells(spark, monkeypatch):
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choice(("b", "d", "g", "k", "l", "m", "n", "r", "s", "t")) + rng.choice("aeiou") for _ in range(6)) for _ in range(3000)})
+    slips = [(n, n[:4] + "x" + n[5:]) for n in names[::100]]
+    df = spark.createDataFrame([("x", n) for n in [*names, *(b for _, b in slips)]], "block string, name string")
+    kept, durable = [], variants.durable
+
+    def counted(df):
+        kept.append((cut := durable(df)).count())
+        return cut
+
+    monkeypatch.setattr(variants, "durable", counted)
+    got = {(r.a, r.b) for r in metric_join(df).collect()}
+    assert {tuple(sorted(p)) for p in slips} <= got
+    assert sum(kept) < 5 * len(names)
+
+
 def test_name_forms():
     assert read_name("Bell, Peggy", "person") == ("person", "margaret", ["margaret"], "bell")
     assert read_name("Dr. Margaret A. Béll", None) == ("person", "margaret", ["margaret"], "bell")
