@@ -91,10 +91,11 @@ def chunk_ranking(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, s
 
 def chunk_hits(ranking: DataFrame, chunks: DataFrame, sources: DataFrame, token_budget: int) -> DataFrame:
     """q_id, chunk_id, rank, tag, score, text, source_info: ranked chunks up to the first whose text would pass the budget."""
-    texts = chunks.select(F.col("id").alias("key"), "text", "source_id")
+    # only lengths meet all ranked chunks; texts are joined to those that stay
+    sizes = chunks.select(F.col("id").alias("key"), F.length("text").alias("chars"), "source_id")
     places = sources.select(F.col("id").alias("source_id"), "title", "path")
-    rows = ranking.join(texts, "key").join(places, "source_id", "left").withColumn("chars", F.length("text"))
-    return rt.pack(rows, "chars", token_budget * 4, ["rank"]).select(
+    rows = rt.pack(ranking.join(sizes, "key"), "chars", token_budget * 4, ["rank"]).join(chunks.select(F.col("id").alias("key"), "text"), "key")
+    return rows.join(places, "source_id", "left").select(
         "q_id", F.col("key").alias("chunk_id"), "rank", F.concat(F.lit("[C"), F.col("rank").cast("string"), F.lit("]")).alias("tag"), "score", "text",
         source_info(F.col("title"), F.col("path")).alias("source_info"),
     )
@@ -160,11 +161,9 @@ def context(chunks_: DataFrame, facts_: DataFrame, token_budget: int) -> DataFra
     """
     quoted = F.concat("tag", F.lit(' "'), "text", F.lit('"'), F.coalesce(F.concat(F.lit(" ("), "source_info", F.lit(")")), F.lit("")))
     first = rt.pack(chunks_.select("q_id", "rank", quoted.alias("line")).withColumn("chars", F.length("line")), "chars", token_budget * 4, ["rank"])
-    used = first.groupBy("q_id").agg(F.max("used").alias("before"))
-    later = facts_.withColumn("chars", F.length("line")).join(used, "q_id", "left")
-    w = Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    second = later.withColumn("used", F.sum("chars").over(w) + F.coalesce("before", F.lit(0))).filter(F.col("used") <= token_budget * 4)
-    rows = first.select("q_id", F.lit(0).alias("part"), "rank", "line").unionByName(second.select("q_id", F.lit(1).alias("part"), "rank", "line"))
+    # one window over both, as a second use of the chunks would search them again
+    lines = first.select("q_id", F.lit(0).alias("part"), "rank", "line", "chars").unionByName(facts_.select("q_id", F.lit(1).alias("part"), "rank", "line", F.length("line").alias("chars")))
+    rows = rt.pack(lines, "chars", token_budget * 4, ["part", "rank"])
     g = rows.groupBy("q_id").agg(
         F.count(F.when(F.col("part") == 0, 1)).alias("n_chunks"), F.count(F.when(F.col("part") == 1, 1)).alias("n_facts"),
         F.sort_array(F.collect_list(F.struct("part", "rank", "line"))).alias("l"),

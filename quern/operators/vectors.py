@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.arrow import map_batches
+from quern.runtime import durable, stored
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -29,7 +30,9 @@ def unit(a: Column) -> Column:
 
 
 #: Query vectors of one block, and distances in one table.
-QUERY_BLOCK, CELLS = 4096, 4_000_000
+QUERY_BLOCK, CELLS = 16_384, 4_000_000
+#: Queries and vectors of one matrix product, so that it stays near the processor; vectors of one task.
+TILE, VECTORS = (256, 2048), 1 << 17
 _NEAR = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType())])
 
 
@@ -64,46 +67,86 @@ def _union(parts: list[DataFrame], queries: DataFrame) -> DataFrame:
     return out
 
 
+def _rounding(norms: np.ndarray, most: float, dim: int) -> tuple[type, np.ndarray]:
+    """The kind of number for products of the queries with vectors (squared lengths up to `most`), and twice the error that it can make."""
+    largest = max(most, float(norms[np.isfinite(norms)].max(initial=0)))
+    kind = np.float32 if 1e-12 < largest < 1e12 else np.float64
+    slack = 2 * float(np.finfo(kind).eps) * (dim + 8) * (np.sqrt(norms) * np.sqrt(most) + most)
+    return kind, slack + 4 * float(np.finfo(np.float64).eps) * (dim + 8) * (norms + most)
+
+
+class _Nearest:
+    """The k nearest (distance, then least id) of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.distance, self.id = k, np.full((queries, k), np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
+        own = np.unique(q)
+        old_d, old_i = self.distance[own], self.id[own]
+        q = np.concatenate([np.searchsorted(own, q), np.repeat(np.arange(len(own)), self.k)])
+        d, i = np.concatenate([distance, old_d.ravel()]), np.concatenate([ids, old_i.ravel()])
+        order = np.lexsort((i, d, q))
+        first = np.searchsorted(q[order], np.arange(len(own)))
+        top = order[first[:, None] + np.arange(self.k)[None, :]]
+        self.distance[own], self.id[own] = d[top], i[top]
+
+
+def _above(table: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the numbers that reach their row's least; looked for by eights, as they are few."""
+    found = table >= least[:, None]
+    if found.shape[1] % 8:
+        return np.nonzero(found)
+    eight = np.flatnonzero(found.reshape(-1).view(np.uint64))
+    at = (eight[:, None] * 8 + np.arange(8)[None, :])[found.reshape(-1, 8)[eight]]
+    return at // found.shape[1], at % found.shape[1]
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """q_id, id, distance, rank: exact nearest neighbours of a stated query set (queries: q_id, qvec; vectors: id, vec).
 
-    The vectors are read once for each block of queries.  A task multiplies them with the whole block, measures the
-    k + 8 nearest of each query again without the rounding of the product, and gives away k rows per query.
+    The vectors are made once and read once for each block of queries.  A task multiplies them with the block in tiles, in short
+    numbers; all that may be among the k nearest of a query, with the rounding allowed for, are measured in double precision.
     """
-    parts = []
+    rows = vectors.filter("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    queries, parts = durable(queries), []
+    rows = stored(rows)
+    tasks = max(2, -(-rows.count() // VECTORS))
     for q_ids, block in _blocks(queries):
         norms = (block * block).sum(axis=1)
 
         def run(batches, block=block, norms=norms):
-            best_d, best_i = np.full((len(block), k), np.inf), np.full((len(block), k), np.iinfo(np.int64).max)
-            step = max(k + 8, CELLS // max(1, len(block)))
+            best = _Nearest(len(block), k)
             for batch in batches:
                 ids, x = batch.column(0).to_numpy(), _rows(batch.column(1))
-                for s in range(0, len(ids), step):
-                    part, own = x[s : s + step], ids[s : s + step]
-                    rough = norms[:, None] + (part * part).sum(axis=1)[None, :] - 2 * (block @ part.T)
-                    take = min(k + 8, len(own))
-                    near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                    exact = np.sqrt(((part[near] - block[:, None, :]) ** 2).sum(axis=2))
-                    near = own[near]
-                    if take < len(own):
-                        # more vectors as near as the k-th than were taken: the query measures all of them
-                        edge = np.sort(exact, axis=1)[:, k - 1] ** 2 + 1e-9 * (1 + norms)
-                        for q in np.flatnonzero((rough <= edge[:, None]).sum(axis=1) > take):
-                            at = np.flatnonzero(rough[q] <= edge[q])
-                            full = np.sqrt(((part[at] - block[q]) ** 2).sum(axis=1))
-                            first = np.lexsort((own[at], full))[:take]
-                            exact[q], near[q] = full[first], own[at][first]
-                    d, i = np.concatenate([best_d, exact], axis=1), np.concatenate([best_i, near], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, axis=1), np.take_along_axis(i, order, axis=1)
-            hit = np.isfinite(best_d)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    squares = (x * x).sum(axis=1)
+                known = np.isfinite(squares)
+                ids, x, squares = ids[known], x[known], squares[known]
+                if not len(ids):
+                    continue
+                kind, slack = _rounding(norms, float(squares.max()), x.shape[1])
+                # a larger number is a nearer vector: the product less half the vector's squared length
+                left = np.concatenate([block, np.ones((len(block), 1))], axis=1).astype(kind)
+                right = np.concatenate([x, -squares[:, None] / 2], axis=1).astype(kind)
+                for s in range(0, len(ids), TILE[1]):
+                    own, part, turned = ids[s : s + TILE[1]], x[s : s + TILE[1]], right[s : s + TILE[1]].T
+                    for a in range(0, len(block), TILE[0]):
+                        table = left[a : a + TILE[0]] @ turned
+                        n = slice(a, a + len(table))
+                        reach = (norms[n] - best.distance[n, -1] ** 2) / 2
+                        fresh = np.flatnonzero(np.isinf(best.distance[n, -1]))
+                        if len(fresh) and len(own) > k:
+                            reach[fresh] = np.partition(table[fresh], len(own) - k, axis=1)[:, len(own) - k]
+                        q, i = _above(table, (reach - slack[n]).astype(kind))
+                        if len(q):
+                            best.add(q + a, own[i], np.sqrt(((part[i] - block[q + a]) ** 2).sum(axis=1)))
+            hit = np.isfinite(best.distance)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.nonzero(hit)[0].astype(np.int32)), pa.array(best_i[hit]), pa.array(best_d[hit])], names=["q", "id", "distance"]
+                [pa.array(np.nonzero(hit)[0].astype(np.int32)), pa.array(best.id[hit]), pa.array(best.distance[hit])], names=["q", "id", "distance"]
             )
 
-        rows = vectors.filter("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-        parts.append(_named(rows.mapInArrow(run, _NEAR), q_ids, queries))
+        parts.append(_named(rows.coalesce(tasks).mapInArrow(run, _NEAR), q_ids, queries))
     order = Window.partitionBy("q_id").orderBy("distance", "id")
     return _union(parts, queries).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

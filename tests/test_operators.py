@@ -391,6 +391,36 @@ def test_knn_ties_and_many_queries(spark, monkeypatch):
     assert got == {i: sorted(range(len(x)), key=lambda j: (d[i, j], j))[:5] for i in range(20, 30)}
 
 
+def test_knn_in_tiles_against_plain_arithmetic(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", (3, 16))
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e-9, 1e9):
+        x = np.concatenate([rng.normal(size=(150, 5)).round(1), rng.normal(size=(3, 5)) + 1e3]) * scale
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+        got = {}
+        for r in vectors.knn(df.filter("id >= 140").select(F.col("id").alias("q_id"), F.col("vec").alias("qvec")), df, 4).orderBy("rank").collect():
+            got.setdefault(r.q_id, []).append(r.id)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        assert got == {i: sorted(range(len(x)), key=lambda j: (d[i, j], j))[:4] for i in range(140, 153)}
+
+
+def test_context_reads_its_chunks_once(spark):
+    from quern.operators.answering import context
+
+    chunks = spark.createDataFrame([("a", 1, "[C1]", "x" * 20, "s"), ("a", 2, "[C2]", "y" * 20, None), ("a", 3, "[C3]", "z" * 90, None), ("b", 1, "[C1]", "w" * 200, None)], "q_id string, rank int, tag string, text string, source_info string")
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    facts = spark.createDataFrame([("a", 1, "f" * 20), ("a", 2, "g" * 20), ("a", 3, "h"), ("b", 1, "k" * 80), ("b", 2, "m" * 30)], "q_id string, rank int, line string")
+    got = rows(context(chunks.mapInArrow(seen, chunks.schema), facts, 25))
+    assert got == [("a", 2, 3, '[C1] "' + "x" * 20 + '" (s)\n\n[C2] "' + "y" * 20 + '"\n\n' + "f" * 20 + "\n\n" + "g" * 20 + "\n\nh"), ("b", 0, 1, "k" * 80)]
+    assert ran.value == chunks.count()
+
+
 def test_upsert_keeps_the_last_of_repeated_keys(spark):
     old = spark.createDataFrame([(1, [0.0]), (2, [0.0])], "id long, embedding array<float>")
     new = spark.createDataFrame([(2, [1.0]), (2, [3.0]), (3, [2.0])], old.schema)
